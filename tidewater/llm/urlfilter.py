@@ -21,8 +21,9 @@ from tidewater.llm.shared import small_batches
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 # Words of the labelled URL table.
-BAD = ["cheap-pills", "spam-farm", "casino-win", "free-money", "hot-loans", "click-bait", "fake-watches", "win-prize", "adult-chat", "crypto-double"]
-GOOD = ["news", "library", "weather", "gardening", "museum", "science", "recipes", "school", "sports", "travel"]
+BAD = ["cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x", "free-money", "hot-loans", "click-bait", "fake-watches", "win-prize", "adult-chat", "crypto-double", "pills-shop", "track-ads", "bet-casino"]
+GOOD = ["news", "library", "weather", "gardening", "museum", "science", "recipes", "school", "sports", "travel", "northern", "station", "thermal", "other", "nation", "heating", "threads", "theatre", "earth", "reading", "thinking", "table", "shore", "then", "thread", "within", "houses", "union", "notion", "artist", "blended", "cinema"]
+PREFIXES = ["", "www.", "blog.", "m."]
 TLDS = ["example.com", "example.net", "example.org"]
 PATHS = ["/en/1", "/fr/22", "/de/333.html", "/es/44/"]
 
@@ -31,8 +32,9 @@ GRAMS = (3, 4, 5)
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """The labelled table, (host, path, 1 for block): every word with every domain and path."""
-    return [(f"{w}.{t}", p, y) for words, y in ((BAD, 1), (GOOD, 0)) for w, t, p in product(words, TLDS, PATHS)]
+    """The labelled table, (host, path, 1 for block): every word with every prefix and domain, paths in turn; no host is harmless."""
+    hosts = [(f"{f}{w}.{t}", y) for words, y in ((BAD, 1), (GOOD, 0)) for w, f, t in product(words, PREFIXES, TLDS)]
+    return [(h, PATHS[i % len(PATHS)], y) for i, (h, y) in enumerate(hosts)] + [("", "", 0)] * 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
