@@ -89,10 +89,14 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
-def stems(words: pd.Series) -> pd.Series:
+def stems(words: Column) -> Column:
     """Stems of arrays of lower-case words."""
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<string>")(words)
 
 
 def tokens(text: Column) -> Column:

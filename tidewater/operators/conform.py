@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import normalise, record_hash, safe_cast
+from tidewater.operators.materialise import written
 from tidewater.spec import KEPT_LINEAGE, LINEAGE, Entity, check_owner, check_unrestricted
 
 
@@ -30,6 +31,8 @@ def number_rows(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c).asc_nulls_last() for c in order_by]
     dealt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id()).withColumn("_in_part", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    # ranges are sampled: counts and rows must come from one run
+    dealt = written(dealt, "numbered")
     counts = dealt.groupBy("_part").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     # one row a partition
