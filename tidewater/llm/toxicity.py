@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import fields, small_batches
 
 #: Labelled rows and characters of a labelled text that training takes at most; scoring knows no such bound.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 DIM = 16
@@ -125,8 +125,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 6.0 * (2 * y.mean() - 1) if len(y) else -6.0)
     place: dict[str, int] = {}
-    docs = [np.array([place.setdefault(w, len(place)) for w in map(normal, words_of(t))], np.int64) for t in texts]
-    ids, word = subwords(list(place))
+    docs = [np.array([place.setdefault(w, len(place)) for w in map(normal, words_of(t))], np.int32) for t in texts]
+    names = list(place)
+    parts = [(i, subwords(names[i : i + 20_000])) for i in range(0, len(names), 20_000)]
+    ids = np.concatenate([x.astype(np.int32) for _, (x, _) in parts])
+    word = np.concatenate([(y + i).astype(np.int32) for i, (_, y) in parts])
+    del names, parts
     sizes = np.bincount(word, minlength=len(place))
     # Half-overlapping windows of all documents, as ranges of one long row of words.
     row = np.concatenate(docs)
@@ -146,7 +150,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
     mass = np.bincount(ids, (np.bincount(row, part, len(place)) / sizes)[word], BUCKETS)
     scale = 1 / np.sqrt(mass + 3 * part.mean() / sizes.mean())
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.02, (BUCKETS, DIM))
+    table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     weights = rng.normal(0, 1.0, (DIM, 2))
     bias = np.log(y.mean() / (1 - y.mean()))
     for epoch in range(epochs):
@@ -165,7 +169,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
         for_bucket = scale * np.bincount(ids, (for_word / sizes)[word], BUCKETS)
         g_diff = (for_bucket / scale) @ table
         step = rate * (1 - epoch / epochs)
-        table -= step / (np.abs(for_bucket).max() * np.abs(diff).max() + 1e-30) * for_bucket[:, None] * diff
+        pace = step / (np.abs(for_bucket).max() * np.abs(diff).max() + 1e-30)
+        table -= np.outer((pace * for_bucket).astype(np.float32), diff.astype(np.float32))
         weights -= 0.1 * step / (np.abs(g_diff).max() + 1e-30) * np.stack([-g_diff, g_diff], 1)
         bias -= 2 * step * error.sum()
     return Model(table @ (weights[:, 1] - weights[:, 0]), float(bias))
