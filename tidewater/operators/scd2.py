@@ -74,22 +74,23 @@ def history(customers: DataFrame, log: DataFrame, end: Column, key: str = "custo
     instants at which a snapshot was taken.
     """
     instants = log.select(F.col("changed_at").alias("at")).union(customers.select(end.alias("at")).limit(1)).distinct()
-    # first snapshot at or after sign-up: the instants' days are few against customers, and sorted once
+    # First snapshot at or after sign-up: looked up once a calendar day, of which there are few.
     days = instants.groupBy(F.to_date("at").alias("day")).agg(F.min("at").alias("at"))
-    calendar = days.agg(F.array_sort(F.collect_list(F.struct("day", "at"))).alias("days"))
-    firsts = customers.crossJoin(F.broadcast(calendar)).select(key, F.expr(f"filter(days, d -> d.day >= CAST({signup} AS DATE))[0].at").alias("first_at")).where("first_at IS NOT NULL")
-    own = log.where(F.col("field").isin(*fields, deleted)).select(key, "changed_at").distinct()
-    points = firsts.select(key, F.col("first_at").alias("at")).union(own.join(firsts, key).where("changed_at > first_at").select(key, "changed_at")).distinct()
+    signups = customers.select(F.col(signup).cast("date").alias("day")).distinct()
+    ahead = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calendar = days.unionByName(signups.withColumn("at", F.lit(None).cast("timestamp"))).groupBy("day").agg(F.min("at").alias("at")).select("day", F.last("at", ignorenulls=True).over(ahead).alias("first_at"))
+    firsts = customers.select(key, F.col(signup).cast("date").alias("day")).join(calendar, "day").where("first_at IS NOT NULL").select(key, "first_at")
     watched = [*fields, deleted]
-    moves = log.where(F.col("field").isin(*watched)).select(key, "changed_at", "seq", "field", "old_value", "new_value")
-    joined = points.join(moves, key, "left")
-    past, order = F.col("changed_at") <= F.col("at"), F.struct("changed_at", "seq")
-    aggs = []
-    for f in watched:
-        mine = F.col("field") == f
-        aggs.append(F.max_by(F.when(mine & past, F.struct(F.col("new_value").alias("v"))), F.when(mine & past, order)).alias(f"_b_{f}"))
-        aggs.append(F.min_by(F.when(mine & ~past, F.struct(F.col("old_value").alias("v"))), F.when(mine & ~past, order)).alias(f"_a_{f}"))
-    state = joined.groupBy(key, "at").agg(*aggs).join(customers.select(key, *watched), key)
+    moves = log.where(F.col("field").isin(*watched)).select(key, F.col("changed_at").alias("at"), "seq", "field", "old_value", "new_value")
+    own = moves.select(key, "at").distinct().join(firsts, key).where("at > first_at").select(key, "at")
+    points = firsts.select(key, F.col("first_at").alias("at")).union(own).distinct()
+    # Moves and points in one sorted row a customer: the last move before a point, else what the first move of all found.
+    line = moves.unionByName(points.withColumn("seq", F.lit((1 << 63) - 1)), allowMissingColumns=True)
+    by_time = Window.partitionBy(key).orderBy("at", "seq")
+    past, whole = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen_as = lambda f, c, how, w: how(F.when(F.col("field") == f, F.struct(F.col(c).alias("v"))), ignorenulls=True).over(w)
+    state = line.select(key, "at", "field", *[seen_as(f, "new_value", F.last, past).alias(f"_b_{f}") for f in watched], *[seen_as(f, "old_value", F.first, whole).alias(f"_a_{f}") for f in watched])
+    state = state.where("field IS NULL").join(customers.select(key, *watched), key)
     now = {f: F.coalesce(F.when(F.col(f"_b_{f}").isNotNull(), F.col(f"_b_{f}.v")).when(F.col(f"_a_{f}").isNotNull(), F.col(f"_a_{f}.v")).otherwise(F.col(f).cast("string")), F.lit("")) for f in watched}
     state = state.select(key, "at", *[now[f].alias(f) for f in fields], (now[deleted] == "true").alias("gone"))
     w = Window.partitionBy(key).orderBy("at")
