@@ -118,6 +118,21 @@ def test_keep_one_of_each_group(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def apart(rng, n, changed):
+    """Two texts of ``n`` shingles, ``changed`` of them different at the end: similarity (n - changed) / (n + changed)."""
+    w = [f"w{rng.getrandbits(40)}" for _ in range(n + 4)]
+    return " ".join(w), " ".join(w[: len(w) - changed] + [f"x{rng.getrandbits(40)}" for _ in range(changed)])
+
+
+def test_texts_under_the_similarity_stay(spark):
+    rng = random.Random(21)
+    docs = [t for n in (40, 100, 300) for share in (0.5, 0.6, 0.7, 0.75, 0.79) for _ in range(6) for t in apart(rng, n, int(n * (1 - share) / (1 + share)) + 1)]
+    core = [f"core{i}" for i in range(88)]  # 84 shared shingles of 102: pairwise 0.7
+    docs += [" ".join(core + [f"own{i}x{j}" for j in range(18)]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert simhash.keep_one(df).count() == len(docs)
+
+
 # -- decontamination --------------------------------------------------------------
 
 

@@ -17,6 +17,10 @@ connection is kept.
 
 A table group over ``SLICE`` nodes is cut into slices and each two slices meet
 in a task of their own, so no task grows with the largest group.
+
+``keep_one``, the pipeline's stage, asks for a similarity of shingle sets and
+not for a distance of fingerprints: ``similar_groups`` finds its pairs by an
+exact index of set signatures and checks each on the sets.
 """
 
 from __future__ import annotations
@@ -184,14 +188,226 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return salted_join(fps, of_node, "node").select("id", text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 44, width: int = 4, key_bits: int = 12) -> DataFrame:
+# -- exact similarity of shingle sets ---------------------------------------------
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, k))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the Jaccard similarity of two sorted sets 4/5 or more? In whole numbers: no rounding."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def size_class(n: int) -> int:
+    """Classes of set sizes, each from e to 1.25 e; sets at 4/5 lie in one class or in neighbours."""
+    c, first = 0, 1
+    while (after := first * 5 // 4 + 1) <= n:
+        c, first = c + 1, after
+    return c
+
+
+def differing(c: int) -> int:
+    """How many shingles two sets at 4/5 differ in at most, the smaller being of class ``c``: a quarter of its size."""
+    first = 1
+    for _ in range(c + 1):
+        first = first * 5 // 4 + 1
+    return (first - 1) // 4
+
+
+def signatures(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a set; any two sets at 4/5 or more share one.
+
+    Shingles are dealt to buckets. Sets that differ in d shingles differ in at
+    most d buckets, so of the first d + 1 that hold something one is the same in
+    both, and each set has a key for each of those. A set whose shingles fill no
+    more than d buckets has all of them, and a key that tells so. The set takes
+    the part of the smaller (its class) and of the larger (the class before).
+    """
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    own, out = size_class(len(shingles)), []
+    values = mixed(shingles)
+    for c in {own, max(own - 1, 0)}:
+        d = differing(c)
+        bucket = shingles % np.uint64(d * 3 // 2 + 6 if d else 1)
+        order = np.argsort(bucket)
+        there, starts = np.unique(bucket[order], return_index=True)
+        salt = np.uint64(c + 1 << 32)
+        keys = mixed(np.add.reduceat(values[order], starts) ^ mixed(there + salt))
+        out.append(keys[: d + 1])
+        if len(keys) <= d:
+            out.append(mixed(np.array([salt], np.uint64)))
+    return np.concatenate(out).view(np.int64)
+
+
+def groups_of(held: pa.Table | None, b: pa.RecordBatch) -> tuple[pa.Table, pa.Table]:
+    """Rows whose key is complete, and those of the last key, which may go on in the next batch."""
+    t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+    keys = t.column("key").to_numpy()
+    whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+    return t.slice(0, whole), t.slice(whole)
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Distinct rows of ``keyed(key, node)`` whose key more than one node has."""
+    dealt = keyed.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
+
+    def several(t: pa.Table) -> pa.RecordBatch:
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        if len(key):
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node = key[new], node[new]
+            same = key[1:] == key[:-1]
+            stay = np.r_[False, same] | np.r_[same, False]
+            key, node = key[stay], node[stay]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            whole, held = groups_of(held, b)
+            yield several(whole)
+        if held is not None:
+            yield several(held)
+
+    return dealt.mapInArrow(run, "key long, node long")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``(node, n, hist, shingles)`` of the texts of ``docs(text)``; ``hist``: how many shingles fall to each of 64 bins, 255 at most."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            hist = [np.minimum(np.bincount((x >> np.uint64(40) & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(hist, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "hist", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, n int, hist binary, shingles binary").dropDuplicates(["node"])
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), seed=7))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose sets are similar. Where many pairs have one ``a``, its set goes to several tasks."""
+    load = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts")), "simhash-load")
+    pairs = salted_join(pairs, load, "a", "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    of_a = sets.join(load.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+            good = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys)], pa.bool_())
+            yield b.select([0, 1]).filter(good)
+
+    return pairs.join(of_b, "b").join(of_a, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(key, node, root)`` of the keys whose nodes have several roots."""
+    rooted = salted_join(shared, roots, "node").withColumn("root", F.coalesce("root", "node"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return salted_join(rooted, open_keys, "key", "inner").select("key", "node", "root")
+
+
+def remaining_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of nodes with a key in common and different roots that sizes and bins leave possible.
+
+    Sets differ in no fewer shingles than their bins' counts do, so nothing is
+    lost. Keys of many nodes are cut into slices that meet in tasks of their own.
+    """
+    spark = rows.sparkSession
+    rows = rows.join(sets.select("node", "n", "hist"), "node")
+    hot = rows.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    rows = salted_join(rows, hot, "key", "inner").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = rows.select(key.alias("key"), "n", "node", "root", "hist")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "n", "node")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, n, node, root = (t.column(c).to_numpy() for c in ("key", "n", "node", "root"))
+        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
+        out: set[tuple[int, int]] = set()
+        ends = np.searchsorted(key, key, "right") if len(key) else []
+        for i in range(len(key)):
+            to = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 5 // 4, "right"))
+            if to > i + 1:
+                apart = np.abs(hist[i + 1 : to] - hist[i]).sum(1, dtype=np.int64)
+                good = (root[i + 1 : to] != root[i]) & (9 * apart <= n[i + 1 : to].astype(np.int64) + int(n[i]))
+                out.update((min(int(node[i]), j), max(int(node[i]), j)) for j in node[i + 1 : to][good].tolist())
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            whole, held = groups_of(held, b)
+            yield pairs(whole)
+        if held is not None:
+            yield pairs(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """``(id, component_id)`` for every row of ``docs``: texts link if the Jaccard similarity of their ``k``-word shingles is 0.8 or more.
+
+    Every link is checked on the sets themselves, and none is missed: pairs come
+    from ``signatures``. Groups of k copies cost some k checks: each key's nodes
+    first meet one of them, and pairs that this has connected are done with.
+    Wordless texts are equal to each other.
+    """
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([signatures(x) for x in sets], pa.list_(pa.int64()))], ["id", "node", "keys"])
+
+    rows = cut(src.mapInArrow(run, f"{fields(src, 'id')}, node long, keys array<long>"), "shingle-keys")
+    shared = cut(shared_keys(rows.select(F.explode("keys").alias("key"), "node")), "shingle-shared")
+    low = cut(rows.groupBy("node").agg(F.min("id").alias("low")), "shingle-nodes")
+    wanted = low.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("low").alias("id")).distinct()
+    sets = cut(shingle_sets(src.join(wanted, "id", "left_semi"), k), "shingle-sets")
+    roots = shared.select("node", F.col("node").alias("root")).limit(0)
+    found = None
+    for turn in range(3):
+        left = cut(unlinked(shared, roots), "shingle-open")
+        if turn < 2:  # one node of each key, then another, with all others
+            first = F.struct(F.xxhash64("node", "key") if turn else F.col("node"), F.col("node").alias("a"), F.col("root").alias("of"))
+            centre = left.groupBy("key").agg(F.min(first).alias("c")).select("key", "c.a", "c.of")
+            pairs = salted_join(left, centre, "key", "inner").where("root <> of").select("a", F.col("node").alias("b")).distinct()
+        else:
+            pairs = remaining_pairs(left, sets)
+        good = verified(cut(pairs, "shingle-pairs"), sets)
+        found = cut(good if found is None else found.union(good), "shingle-links")
+        roots = cut(components(found), "shingle-roots")
+    of_node = low.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_node = salted_join(of_node.select("node", "root"), lowest, "root").select("node", "component_id")
+    return salted_join(rows.select("id", "node"), of_node, "node").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id; of rows with an equal id one.
 
-    The defaults are those of a similarity of 0.8 on five-word shingles: then
-    0.151 of 256 bits differ on average (38.6, standard deviation 5.7). Rows
-    with a null id are kept: nothing tells them apart.
+    Groups are those of ``similar_groups``: fingerprints decide nothing here.
+    Rows with a null id are kept: nothing tells them apart.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, radius, width, key_bits)
+    groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k)
     stay = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
