@@ -133,6 +133,32 @@ def test_texts_under_the_similarity_stay(spark):
     assert simhash.keep_one(df).count() == len(docs)
 
 
+@pytest.mark.parametrize("slice_rows", [1000, 7])
+def test_no_similar_pair_is_missed(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(simhash, "SLICE", slice_rows)
+    rng = random.Random(22)
+    docs = [t for n in (9, 18, 45, 90, 99, 180, 900) for _ in range(25) for t in apart(rng, n, n // 9)]  # 0.8 exactly, or just above
+    base = [f"b{i}" for i in range(104)]
+    for i in range(40):  # a group in which not all pairs are similar
+        at = rng.randrange(80)
+        docs.append(" ".join(base[:at] + [f"c{i}x{j}" for j in range(rng.randint(1, 14))] + base[at + rng.randint(0, 14) :]))
+    docs += [" ".join(base[: 104 - i]) for i in range(0, 30, 3)] + ["", None, "a b", "b a"]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(docs))}
+
+
 # -- decontamination --------------------------------------------------------------
 
 
