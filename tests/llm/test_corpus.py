@@ -208,6 +208,23 @@ def test_decontamination_by_brute_force(spark):
     assert decontam.matches(df, bench.limit(0)).count() == decontam.matches(df.limit(0), bench).count() == 0
 
 
+def test_moved_parts_by_brute_force(spark):
+    rng = random.Random(31)
+    items = [(i, text(rng.randint(24, 90), rng)) for i in range(25)]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for cut in (len(w) // 2, len(w) // 3):
+            docs.append(f"{text(100, rng)} {' '.join(w[cut:] + w[:cut])} {text(80, rng)}")
+            docs.append(f"{' '.join(w[cut:])} {text(2, rng)} {' '.join(w[:cut])}")
+        third = len(w) // 3
+        docs.append(f"{text(40, rng)} {' '.join(w[2 * third:] + w[third:2 * third] + w[:third])} {text(10, rng)}")
+    rows = list(enumerate(docs))
+    got = {(r["id"], r["item"]): r["similarity"] for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = slow_matches(rows, items)
+    assert want and got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 # -- archives ---------------------------------------------------------------------
 
 

@@ -4,8 +4,10 @@
    shingles of the items. A window that holds none of them has similarity zero,
    so what is left out here can't be a match. A pair of document and item goes on
    if the seeds in it weigh enough for the threshold at all (lossless).
-2. Windows as long as the item, in words, are laid at every alignment that a
-   seed supports. Their SimHash (64 bits, each shingle as often as it occurs) is
+2. Windows as long as the item, in words, are laid at every seed, but where too
+   few seeds follow for the threshold, and at every alignment that a seed
+   supports. Any other window does no better than the one at its first seed, so
+   moved parts of a passage are found as well. Their SimHash (64 bits, each shingle as often as it occurs) is
    met with the item's by multi-index Hamming blocks: with ``RADIUS`` + 1 blocks,
    two fingerprints within the radius agree in one at least.
 3. Candidates are verified by exact weighted-shingle similarity, the weight of a
@@ -86,13 +88,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     hits = seeds.join(weights, "h")
     able = hits.groupBy("id", "uid").agg(F.sum(F.least("times", "item_times")).alias("w"), F.first("weight").alias("weight")).where(F.col("w") >= threshold * F.col("weight")).select("id", "uid")
     able = cut(able, "able")
-    starts = (
-        seeds.select("id", "h", F.explode("at").alias("pos"))
-        .join(grams.select("h", "item", "uid", "len", "weight", F.col("pos").alias("offset")), "h")
-        .join(able, ["id", "uid"])
-        .select("id", "item", "uid", "len", "weight", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
-        .distinct()
-    )
+    placed = seeds.select("id", "h", F.explode("at").alias("pos")).join(grams.select("h", "item", "uid", "len", "weight", F.col("pos").alias("offset")), "h").join(able, ["id", "uid"])
+    aligned = placed.select("id", "item", "uid", "len", "weight", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
+    # A window that starts at a seed reaches the threshold only if so many seeds more lie in it.
+    more = F.ceil(threshold * F.col("weight") - 1e-9).cast("int") - 1
+    run = placed.groupBy("id", "item", "uid", "len", "weight").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    enough = F.transform("at", lambda p, i: F.when(F.get("at", i + more) - p < F.col("weight"), p))
+    at_seeds = run.select("id", "item", "uid", "len", "weight", F.explode(enough).alias("start")).where(F.col("start").isNotNull())
+    starts = aligned.union(at_seeds).distinct()
     texts = src.join(able.select("id").distinct(), "id", "left_semi").distinct()
     window = starts.join(texts, "id").select("id", "item", "uid", "start", "weight", F.slice("w", F.col("start") + 1, F.col("len")).alias("part"))
     parts = shingles(window, "part", "id", "item", "uid", "start", "weight").groupBy("id", "item", "uid", "start", "weight", "h").agg(F.count("*").alias("times"))
