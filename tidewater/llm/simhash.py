@@ -39,6 +39,7 @@ from tidewater.llm.shared import components, cut, fields, salted_join, small_bat
 
 SLICE = 1000
 TILE = 128
+BINS = 256
 
 
 def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
@@ -282,17 +283,41 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long")
 
 
+def bins(shingles: np.ndarray) -> bytes:
+    """How many shingles fall to each of ``BINS`` bins, 255 at most."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def possible(hist: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """May sets of these bins and sizes be similar? They differ in no fewer shingles than their bins' counts do, so nothing is lost."""
+    apart = np.abs(hist.astype(np.int16) - other.astype(np.int16)).sum(-1, dtype=np.int64)
+    return 9 * apart <= n.astype(np.int64) + m
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(node, n, hist, shingles)`` of the texts of ``docs(text)``; ``hist``: how many shingles fall to each of 64 bins, 255 at most."""
+    """``(node, shingles)`` of the texts of ``docs(text)``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            hist = [np.minimum(np.bincount((x >> np.uint64(40) & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(hist, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "hist", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``pairs(a, b)`` that sizes and bins leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            yield b.select([0, 1]).filter(pa.array(possible(x, b.column("n").to_numpy(), y, b.column("m").to_numpy())))
 
-    return docs.select("text").mapInArrow(run, "node long, n int, hist binary, shingles binary").dropDuplicates(["node"])
+    of_a = nodes.select(F.col("node").alias("a"), "n", F.col("hist").alias("x"))
+    of_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("hist").alias("y"))
+    both = salted_join(pairs.join(of_b, "b"), of_a, "a", "inner").where("5 * least(n, m) >= 4 * greatest(n, m)")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -322,14 +347,13 @@ def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return salted_join(rooted, open_keys, "key", "inner").select("key", "node", "root")
 
 
-def remaining_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of nodes with a key in common and different roots that sizes and bins leave possible.
 
-    Sets differ in no fewer shingles than their bins' counts do, so nothing is
-    lost. Keys of many nodes are cut into slices that meet in tasks of their own.
+    Keys of many nodes are cut into slices that meet in tasks of their own.
     """
     spark = rows.sparkSession
-    rows = rows.join(sets.select("node", "n", "hist"), "node")
+    rows = rows.join(nodes.select("node", "n", "hist"), "node")
     hot = rows.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     rows = salted_join(rows, hot, "key", "inner").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -339,14 +363,13 @@ def remaining_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key, n, node, root = (t.column(c).to_numpy() for c in ("key", "n", "node", "root"))
-        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
+        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS)
         out: set[tuple[int, int]] = set()
         ends = np.searchsorted(key, key, "right") if len(key) else []
         for i in range(len(key)):
             to = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 5 // 4, "right"))
             if to > i + 1:
-                apart = np.abs(hist[i + 1 : to] - hist[i]).sum(1, dtype=np.int64)
-                good = (root[i + 1 : to] != root[i]) & (9 * apart <= n[i + 1 : to].astype(np.int64) + int(n[i]))
+                good = (root[i + 1 : to] != root[i]) & possible(hist[i + 1 : to], n[i + 1 : to], hist[i], n[i])
                 out.update((min(int(node[i]), j), max(int(node[i]), j)) for j in node[i + 1 : to][good].tolist())
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
@@ -375,13 +398,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([signatures(x) for x in sets], pa.list_(pa.int64()))], ["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([bins(x) for x in sets], pa.binary()), pa.array([signatures(x) for x in sets], pa.list_(pa.int64()))], ["id", "node", "n", "hist", "keys"])
 
-    rows = cut(src.mapInArrow(run, f"{fields(src, 'id')}, node long, keys array<long>"), "shingle-keys")
+    rows = cut(src.mapInArrow(run, f"{fields(src, 'id')}, node long, n int, hist binary, keys array<long>"), "shingle-keys")
     shared = cut(shared_keys(rows.select(F.explode("keys").alias("key"), "node")), "shingle-shared")
-    low = cut(rows.groupBy("node").agg(F.min("id").alias("low")), "shingle-nodes")
-    wanted = low.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("low").alias("id")).distinct()
-    sets = cut(shingle_sets(src.join(wanted, "id", "left_semi"), k), "shingle-sets")
+    low = cut(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("hist").alias("hist")), "shingle-nodes")
     roots = shared.select("node", F.col("node").alias("root")).limit(0)
     found = None
     for turn in range(3):
@@ -391,11 +412,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             centre = left.groupBy("key").agg(F.min(first).alias("c")).select("key", "c.a", "c.of")
             pairs = salted_join(left, centre, "key", "inner").where("root <> of").select("a", F.col("node").alias("b")).distinct()
         else:
-            pairs = remaining_pairs(left, sets)
-        good = verified(cut(pairs, "shingle-pairs"), sets)
+            pairs = remaining_pairs(left, low)
+        pairs = cut(likely(pairs, low) if turn < 2 else pairs, "shingle-pairs")
+        wanted = low.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        sets = shingle_sets(src.join(wanted.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k)
+        sets = cut(sets.join(wanted.select("node"), "node", "left_semi"), "shingle-sets")
+        if wanted.count() < sets.count():  # some ids are repeated
+            sets = cut(sets.dropDuplicates(["node"]), "shingle-sets")
+        good = verified(pairs, sets)
         found = cut(good if found is None else found.union(good), "shingle-links")
         roots = cut(components(found), "shingle-roots")
-    of_node = low.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_node = low.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = salted_join(of_node.select("node", "root"), lowest, "root").select("node", "component_id")
     return salted_join(rows.select("id", "node"), of_node, "node").select("id", "component_id")
