@@ -58,3 +58,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_question_has_a_vector_side(spark):
+    from tidewater.plans import catalogue
+
+    big = "/root/testdata/sf0.1"
+    asked = {r[0] for r in spark.read.parquet(f"{big}/benchmark.parquet").select("item_id").collect()}
+    got = {r[0] for r in catalogue.QUERIES["vector_topk"](spark, big).select("query_id").distinct().collect()}
+    assert len(asked) == 200 and got == asked
