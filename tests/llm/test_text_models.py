@@ -169,6 +169,20 @@ def test_counts_cover_the_corpus(spark, sf):
     assert bidilm.triple_counts(docs, ["the", "of"]).agg(F.sum("n")).first()[0] == words
 
 
+def test_words_of_one_class_score_by_their_own_counts(spark):
+    common = [f"c{i}" for i in range(bidilm.COMMON)]
+    made = bidilm.Classes(common)
+    same = [w for w in (f"r{i}" for i in range(2000)) if made[w] == made["r0"]][:3]
+    texts = [" ".join(common)] * 9 + [f"c0 {same[0]} c1"] * 4 + [f"c0 {same[1]} c1"]
+    asked = [f"c0 {w} c1" for w in same]  # the third doesn't occur
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = bidilm.fit(docs)
+    got = {r["id"]: r["log_likelihood"] for r in bidilm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert got[0] - got[1] == pytest.approx(np.log(4), abs=1e-6) and got[1] == pytest.approx(got[2], abs=1e-6)
+    c = bidilm.Classes(model.common).of(asked[0])
+    assert got[0] == pytest.approx(model.score(c) + np.log(4 / 5), abs=1e-6)
+
+
 # -- licences ---------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Words become classes: the commonest words of the whole corpus each their own,
 the others by a hash. The network reads the classes on both sides of a position
 (an embedding for each side, a hidden layer) and gives a distribution of the
 class between them; a document's score is the sum of the log-probabilities of
-all its words. It is trained, in numpy, on the counts of all (left, word, right)
+all its words. The log-probability of a word of a hashed class adds that of the
+word inside the class, by the corpus's counts of all words. The network is trained, in numpy, on the counts of all (left, word, right)
 triples of the corpus. Those counts come from every document; there are at most
 ``CLASSES`` cubed of them, which bounds what is gathered. As a position's
 prediction depends on its two neighbours' classes only, the trained network is
@@ -15,15 +16,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import fields, small_batches
+from tidewater.llm.shared import cut, fields, small_batches
 
 #: Classes: 0 stands beyond both ends of a text, then common words, then hashed ones.
 CLASSES = 96
@@ -100,10 +102,30 @@ def triple_counts(docs: DataFrame, common: list[str], text_col: str = "text") ->
 
 @dataclass
 class Model:
-    """``common`` words; ``table[left, right, word]``: log-probabilities."""
+    """``common`` words; ``table[left, right, word]``: log-probabilities.
+
+    ``hashes`` (sorted) and ``times``: words of hashed classes that occur more
+    than once; any other word counts as one. ``totals``: words in each hashed class.
+    """
 
     common: list[str]
     table: np.ndarray
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    totals: np.ndarray = field(default_factory=lambda: np.ones(HASHED, np.int64))
+
+    def inside(self, words: list[str], classes: np.ndarray) -> float:
+        """Summed log-probability of the words of hashed classes given their class."""
+        first = CLASSES - HASHED
+        at = np.flatnonzero(classes[1:-1] >= first)
+        if not len(at):
+            return 0.0
+        h = np.array([xxhash.xxh64_intdigest(words[i].encode("utf-8", "surrogatepass"), seed=42) for i in at], np.uint64).view(np.int64)
+        n = np.ones(len(h), np.int64)
+        if len(self.hashes):
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            n = np.where(self.hashes[i] == h, self.times[i], 1)
+        return float(np.log(n / np.maximum(self.totals[classes[1:-1][at] - first], n)).sum())
 
     def score(self, classes: np.ndarray) -> float:
         """Summed log-probability of each word given both neighbours; no words: 0."""
@@ -151,10 +173,19 @@ def train(triples: np.ndarray, n: np.ndarray, common: list[str], epochs: int = 1
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Train on all of ``docs``: the commonest words (ties by the alphabet) and every triple are counted over whole texts."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    counts = cut(word_counts(docs, text_col), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
     common = [r["word"] for r in top]
+    rest = counts.where(~F.col("word").isin(common)) if common else counts
+    totals = np.ones(HASHED, np.int64)
+    for r in rest.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).alias("at")).agg(F.sum("n").alias("n")).collect():
+        totals[r["at"]] = r["n"]
+    several = rest.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()
+    h, n = several.column("h").to_numpy(), several.column("n").to_numpy()
+    order = np.argsort(h)
     got = triple_counts(docs, common, text_col).toPandas().sort_values("triple")
-    return train(got["triple"].to_numpy(np.int64), got["n"].to_numpy(np.float32), common)
+    model = train(got["triple"].to_numpy(np.int64), got["n"].to_numpy(np.float32), common)
+    return Model(common, model.table, h[order], n[order], totals)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         classes = Classes(model.common)
         for b in batches:
             rows = [classes.of(t) for t in b.column(1).to_pylist()]
-            n, sums = [len(c) - 2 for c in rows], [model.score(c) for c in rows]
+            n, sums = [len(c) - 2 for c in rows], [model.score(c) + model.inside(words_of(t), c) for t, c in zip(b.column(1).to_pylist(), rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n)], pa.float64())], ["id", "n_words", "log_likelihood", "per_word"])
 
     return src.mapInArrow(run, f"{fields(src, 'id')}, n_words long, log_likelihood double, per_word double")
