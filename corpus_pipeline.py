@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 on five-word shingles."""
+    """One document of each group: SimHash tiles find the candidates, five-word shingle sets at 0.8 or more decide."""
     return simhash.keep_one(docs)
 
 

@@ -133,9 +133,10 @@ def test_texts_under_the_similarity_stay(spark):
     assert simhash.keep_one(df).count() == len(docs)
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 7])
-def test_no_similar_pair_is_missed(spark, monkeypatch, slice_rows):
-    monkeypatch.setattr(simhash, "SLICE", slice_rows)
+@pytest.mark.parametrize(("key_slice", "set_slice", "common"), [(20_000, 2_000_000, 1000), (7, 900, 5)])
+def test_no_similar_pair_is_missed(spark, monkeypatch, key_slice, set_slice, common):
+    for name, value in (("KEY_SLICE", key_slice), ("SET_SLICE", set_slice), ("COMMON", common)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(22)
     docs = [t for n in (9, 18, 45, 90, 99, 180, 900) for _ in range(25) for t in apart(rng, n, n // 9)]  # 0.8 exactly, or just above
     base = [f"b{i}" for i in range(104)]

@@ -18,14 +18,16 @@ connection is kept.
 A table group over ``SLICE`` nodes is cut into slices and each two slices meet
 in a task of their own, so no task grows with the largest group.
 
-``keep_one``, the pipeline's stage, asks for a similarity of shingle sets and
-not for a distance of fingerprints: ``similar_groups`` finds its pairs by an
-exact index of set signatures and checks each on the sets.
+``keep_one``, the pipeline's stage, asks for a similarity of shingle sets. Bit
+sampling would lose links there, so nodes meet under shingles of their own: two
+sets at 4/5 or more share one of the first fifth of each, in any order that all
+sets have in common. Under such a shingle the tiles compare wide fingerprints
+within a generous radius, and what they connect is checked on the sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -39,7 +41,15 @@ from tidewater.llm.shared import components, cut, fields, salted_join, small_bat
 
 SLICE = 1000
 TILE = 128
-BINS = 256
+#: Words of 64 bits of the fingerprints of shingle sets, and the distance beyond which two are no candidates: sets at 0.8
+#: differ in 38.8 bits on average (standard deviation 5.7; 48 and 6.2 for sets of four or five).
+WIDE, WIDE_RADIUS = 4, 72
+#: Nodes that meet under one shingle in one task; shingles that the sets in one such task hold, 16 MB.
+KEY_SLICE = 20_000
+SET_SLICE = 2_000_000
+#: Prefix shingles of more nodes than ``COMMON`` come last in the order; no more than ``HOT_KEYS`` of them (8 MB) do.
+COMMON = 1000
+HOT_KEYS = 1 << 20
 
 
 def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
@@ -96,10 +106,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
+def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Can sets of these sizes have a similarity of 4/5?"""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE, sizes: np.ndarray | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Index pairs of rows within the radius that together connect all such pairs of tiles that share a key.
 
-    ``keys`` must be grouped and, within a key, ``fps`` sorted by population count.
+    ``keys`` must be grouped and, within a key, ``fps`` sorted by population
+    count. With ``sizes`` only rows of fitting sizes pair; with ``sets`` only
+    rows whose sets are similar.
     """
     n = len(keys)
     pop = np.bitwise_count(fps).sum(1, dtype=np.int32)
@@ -113,13 +130,22 @@ def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE) -
             b1 = min(b + tile, n)
             if b > a and keys[a] == keys[b1 - 1] and pop[b] - pop[a1 - 1] > radius:
                 break  # one key, sorted: all later tiles are further off
+            if (label[a:a1] == label[a]).all() and (label[b:b1] == label[a]).all():
+                continue  # all connected already
             near = np.zeros((a1 - a, b1 - b), np.int16)
             for w in range(fps.shape[1]):
                 near += np.bitwise_count(fps[a:a1, w][:, None] ^ fps[b:b1, w][None, :])
             new = (near <= radius) & (label[a:a1][:, None] != label[b:b1][None, :])
+            if sizes is not None:
+                new &= fits(sizes[a:a1][:, None], sizes[b:b1][None, :])
+            if a == b:
+                new = np.triu(new, 1)
             while len(at := np.flatnonzero(new.any(1))):
                 i = int(at[0])
                 j = int(np.argmax(new[i]))
+                new[i, j] = False
+                if sets is not None and not similar(sets[a + i], sets[b + j]):
+                    continue
                 out.append((a + i, b + j))
                 old, to = label[a + i], label[b + j]
                 label[label == old] = to
@@ -127,41 +153,66 @@ def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE) -
     return out
 
 
+def whole_groups(key: str, work: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function for rows sorted by ``key``: ``work`` gets tables that hold every row of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).to_numpy()
+            if held and keys[0] != last:
+                yield work(pa.Table.from_batches(held))
+                held = []
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if whole:
+                yield work(pa.Table.from_batches([*held, b.slice(0, whole)]))
+                held = []
+            held.append(b.slice(whole))
+            last = keys[-1]
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def sliced(keyed: DataFrame, *columns: str) -> DataFrame:
+    """``(key, pop, *columns)`` of ``keyed(key, slices, node, f0, ...)``, dealt and sorted by a key that each two slices of a large key have for themselves."""
+    spark = keyed.sparkSession
+    names = [c for c in keyed.columns if c[0] == "f" and c[1:].isdigit()]
+    mine = F.pmod(F.xxhash64("node", F.lit("slice")), F.col("slices")).cast("int")
+    rows = keyed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    pop = sum((F.bit_count(n) for n in names), F.lit(0))
+    key = F.when(F.col("slices") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    dealt = rows.select(key.alias("key"), pop.alias("pop"), *columns)
+    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "pop", "node")
+
+
+def compared(keyed: DataFrame, names: list[str], radius: int, with_sets: bool = False) -> DataFrame:
+    """Links ``(a, b)`` by tiles of the rows of ``keyed(key, slices, node, f0, ...[, n][, shingles])`` that share a key."""
+    more = [c for c in ("n", "shingles") if c in keyed.columns]
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        fps = np.stack([t.column(x).to_numpy() for x in names], 1).view(np.uint64)
+        sizes = t.column("n").to_numpy().astype(np.int64) if "n" in more else None
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()] if with_sets else None
+        found = np.array(links_in(t.column("key").to_numpy(), fps, radius, sizes=sizes, sets=sets), np.int64).reshape(-1, 2)
+        node = t.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+
+    return sliced(keyed, "node", *names, *more).mapInArrow(whole_groups("key", work), "a long, b long").distinct()
+
+
 def links(nodes: DataFrame, radius: int, width: int = 1, key_bits: int = 12) -> DataFrame:
     """Links ``(a, b)`` between rows of ``nodes(node, f0, ...)`` that connect all pairs within the radius found in some table."""
-    spark = nodes.sparkSession
     names = [f"f{i}" for i in range(width)]
     masked = [F.xxhash64(F.lit(t), *[F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, mask)]) for t, mask in enumerate(tables(width, radius, key_bits))]
     keyed = nodes.withColumn("key", F.explode(F.array(*masked)))
     hot = keyed.groupBy("key").count().where(F.col("count") > SLICE).select("key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
     keyed = keyed.join(hot, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    mine = F.pmod(F.xxhash64(*names, F.lit("slice")), F.col("slices")).cast("int")
-    keyed = keyed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    pop = sum((F.bit_count(n) for n in names), F.lit(0))
-    key = F.when(F.col("slices") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    dealt = keyed.select(key.alias("key"), pop.alias("pop"), "node", *names)
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "pop", *names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def compare(t: pa.Table) -> pa.RecordBatch:
-            fps = np.stack([t.column(n).to_numpy() for n in names], 1).view(np.uint64)
-            found = np.array(links_in(t.column("key").to_numpy(), fps, radius), np.int64).reshape(-1, 2)
-            node = t.column("node").to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
-
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            keys = t.column("key").to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
-            held = t.slice(whole)
-            if whole:
-                yield compare(t.slice(0, whole))
-        if held is not None and held.num_rows:
-            yield compare(held)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return compared(keyed, names, radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 3, width: int = 1, key_bits: int = 12) -> DataFrame:
@@ -192,249 +243,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # -- exact similarity of shingle sets ---------------------------------------------
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: bytes | None, k: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, k))
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Is the Jaccard similarity of two sorted sets 4/5 or more? In whole numbers: no rounding."""
     both = len(a) + len(b) - len(np.union1d(a, b))
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def size_class(n: int) -> int:
-    """Classes of set sizes, each from e to 1.25 e; sets at 4/5 lie in one class or in neighbours."""
-    c, first = 0, 1
-    while (after := first * 5 // 4 + 1) <= n:
-        c, first = c + 1, after
-    return c
-
-
-def differing(c: int) -> int:
-    """How many shingles two sets at 4/5 differ in at most, the smaller being of class ``c``: a quarter of its size."""
-    first = 1
-    for _ in range(c + 1):
-        first = first * 5 // 4 + 1
-    return (first - 1) // 4
-
+def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first fifth of a sorted set, and one more; those of ``hot`` (sorted) come last in the order.
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """Keys of a set; any two sets at 4/5 or more share one.
-
-    Shingles are dealt to buckets. Sets that differ in d shingles differ in at
-    most d buckets, so of the first d + 1 that hold something one is the same in
-    both, and each set has a key for each of those. A set whose shingles fill no
-    more than d buckets has all of them, and a key that tells so. The set takes
-    the part of the smaller (its class) and of the larger (the class before).
+    Sets at 4/5 share at least 4/5 of either. So what comes after the first fifth
+    and one can't hold all that they share, whatever the order, if only all sets have the same.
     """
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    own, out = size_class(len(shingles)), []
-    values = mixed(shingles)
-    for c in {own, max(own - 1, 0)}:
-        d = differing(c)
-        bucket = shingles % np.uint64(d * 3 // 2 + 6 if d else 1)
-        order = np.argsort(bucket)
-        there, starts = np.unique(bucket[order], return_index=True)
-        salt = np.uint64(c + 1 << 32)
-        keys = mixed(np.add.reduceat(values[order], starts) ^ mixed(there + salt))
-        out.append(keys[: d + 1])
-        if len(keys) <= d:
-            out.append(mixed(np.array([salt], np.uint64)))
-    return np.concatenate(out).view(np.int64)
-
-
-def groups_of(held: pa.Table | None, b: pa.RecordBatch) -> tuple[pa.Table, pa.Table]:
-    """Rows whose key is complete, and those of the last key, which may go on in the next batch."""
-    t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-    keys = t.column("key").to_numpy()
-    whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-    return t.slice(0, whole), t.slice(whole)
-
-
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Distinct rows of ``keyed(key, node)`` whose key more than one node has."""
-    dealt = keyed.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
-
-    def several(t: pa.Table) -> pa.RecordBatch:
-        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-        if len(key):
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node = key[new], node[new]
-            same = key[1:] == key[:-1]
-            stay = np.r_[False, same] | np.r_[same, False]
-            key, node = key[stay], node[stay]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            whole, held = groups_of(held, b)
-            yield several(whole)
-        if held is not None:
-            yield several(held)
-
-    return dealt.mapInArrow(run, "key long, node long")
-
-
-def bins(shingles: np.ndarray) -> bytes:
-    """How many shingles fall to each of ``BINS`` bins, 255 at most."""
-    return np.minimum(np.bincount((shingles >> np.uint64(40) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
-def possible(hist: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """May sets of these bins and sizes be similar? They differ in no fewer shingles than their bins' counts do, so nothing is lost."""
-    apart = np.abs(hist.astype(np.int16) - other.astype(np.int16)).sum(-1, dtype=np.int64)
-    return 9 * apart <= n.astype(np.int64) + m
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(node, shingles)`` of the texts of ``docs(text)``."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, k) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
-
-
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``pairs(a, b)`` that sizes and bins leave possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
-            yield b.select([0, 1]).filter(pa.array(possible(x, b.column("n").to_numpy(), y, b.column("m").to_numpy())))
-
-    of_a = nodes.select(F.col("node").alias("a"), "n", F.col("hist").alias("x"))
-    of_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("hist").alias("y"))
-    both = salted_join(pairs.join(of_b, "b"), of_a, "a", "inner").where("5 * least(n, m) >= 4 * greatest(n, m)")
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    if len(hot) and len(shingles):
+        common = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+        shingles = np.concatenate([shingles[~common], shingles[common]])
+    return shingles[: len(shingles) // 5 + 1]
 
 
 def node_of(shingles: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(shingles.tobytes(), seed=7))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose sets are similar. Where many pairs have one ``a``, its set goes to several tasks."""
-    load = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts")), "simhash-load")
-    pairs = salted_join(pairs, load, "a", "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    of_a = sets.join(load.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
-    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+def shingle_sets(src: DataFrame, k: int, hot: np.ndarray | None = None, with_sets: bool = False) -> DataFrame:
+    """``(id, node, n, f0, ..., keys)`` of ``src(id, text)``: a set's name, size, fingerprint and prefix; with ``with_sets``: ``(node, shingles)``."""
+    small_batches(src.sparkSession)
+    names = [f"f{i}" for i in range(WIDE)]
+    hot = np.zeros(0, np.uint64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
-            good = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys)], pa.bool_())
-            yield b.select([0, 1]).filter(good)
-
-    return pairs.join(of_b, "b").join(of_a, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            sets = [np.unique(shingle_hashes(t, k)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            nodes = pa.array([node_of(x) for x in sets], pa.int64())
+            if with_sets:
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+                continue
+            fps = np.array([fingerprint(x, WIDE) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            keys = pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, pa.array([len(x) for x in sets], pa.int32()), *(pa.array(fps[:, i]) for i in range(WIDE)), keys], ["id", "node", "n", *names, "keys"])
 
+    schema = "node long, shingles binary" if with_sets else f"{fields(src, 'id')}, node long, n int, {', '.join(f'{x} long' for x in names)}, keys array<long>"
+    return src.select("id", "text").mapInArrow(run, schema)
 
-def unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(key, node, root)`` of the keys whose nodes have several roots."""
-    rooted = salted_join(shared, roots, "node").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return salted_join(rooted, open_keys, "key", "inner").select("key", "node", "root")
 
+def common_keys(nodes: DataFrame) -> np.ndarray:
+    """Prefix shingles of more than ``COMMON`` nodes, as far as they occur twice in a task: an order for speed, on which no result depends."""
 
-def remaining_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of nodes with a key in common and different roots that sizes and bins leave possible.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.int64)], 0
 
-    Keys of many nodes are cut into slices that meet in tasks of their own.
-    """
-    spark = rows.sparkSession
-    rows = rows.join(nodes.select("node", "n", "hist"), "node")
-    hot = rows.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    rows = salted_join(rows, hot, "key", "inner").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = rows.select(key.alias("key"), "n", "node", "root", "hist")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "n", "node")
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, n, node, root = (t.column(c).to_numpy() for c in ("key", "n", "node", "root"))
-        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS)
-        out: set[tuple[int, int]] = set()
-        ends = np.searchsorted(key, key, "right") if len(key) else []
-        for i in range(len(key)):
-            to = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 5 // 4, "right"))
-            if to > i + 1:
-                good = (root[i + 1 : to] != root[i]) & possible(hist[i + 1 : to], n[i + 1 : to], hist[i], n[i])
-                out.update((min(int(node[i]), j), max(int(node[i]), j)) for j in node[i + 1 : to][good].tolist())
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], ["key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for b in batches:
-            whole, held = groups_of(held, b)
-            yield pairs(whole)
-        if held is not None:
-            yield pairs(held)
+            held.append(b.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size > 4_000_000:
+                yield out()
+                held, size = [np.zeros(0, np.int64)], 0
+        yield out()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    counts = nodes.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
+    got = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow()
+    return np.sort(got.column("key").to_numpy().view(np.uint64))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """``(id, component_id)`` for every row of ``docs``: texts link if the Jaccard similarity of their ``k``-word shingles is 0.8 or more.
 
-    Every link is checked on the sets themselves, and none is missed: pairs come
-    from ``signatures``. Groups of k copies cost some k checks: each key's nodes
-    first meet one of them, and pairs that this has connected are done with.
-    Wordless texts are equal to each other.
+    1. Equal sets are one node, which keeps a fingerprint, its prefix and the smallest id.
+    2. Nodes meet under the shingles of their prefixes (``prefix``: no similar
+       pair is missed), where tiles compare fingerprints and sizes. Shingles of
+       many nodes, such as those of a passage that a third of all documents
+       hold, are put last in the order first.
+    3. Within what the tiles connect, tiles again, and each pair that they let
+       through is checked on the sets themselves, unless checked pairs connect it
+       already. Sets travel once for each slice of their group.
+
+    Wordless texts are equal to each other. Links are those of checked pairs only.
     """
-    small_batches(docs.sparkSession)
+    names = [f"f{i}" for i in range(WIDE)]
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([bins(x) for x in sets], pa.binary()), pa.array([signatures(x) for x in sets], pa.list_(pa.int64()))], ["id", "node", "n", "hist", "keys"])
-
-    rows = cut(src.mapInArrow(run, f"{fields(src, 'id')}, node long, n int, hist binary, keys array<long>"), "shingle-keys")
-    shared = cut(shared_keys(rows.select(F.explode("keys").alias("key"), "node")), "shingle-shared")
-    low = cut(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("hist").alias("hist")), "shingle-nodes")
-    roots = shared.select("node", F.col("node").alias("root")).limit(0)
-    found = None
-    for turn in range(3):
-        left = cut(unlinked(shared, roots), "shingle-open")
-        if turn < 2:  # one node of each key, then another, with all others
-            first = F.struct(F.xxhash64("node", "key") if turn else F.col("node"), F.col("node").alias("a"), F.col("root").alias("of"))
-            centre = left.groupBy("key").agg(F.min(first).alias("c")).select("key", "c.a", "c.of")
-            pairs = salted_join(left, centre, "key", "inner").where("root <> of").select("a", F.col("node").alias("b")).distinct()
-        else:
-            pairs = remaining_pairs(left, low)
-        pairs = cut(likely(pairs, low) if turn < 2 else pairs, "shingle-pairs")
-        wanted = low.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-        sets = shingle_sets(src.join(wanted.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k)
-        sets = cut(sets.join(wanted.select("node"), "node", "left_semi"), "shingle-sets")
-        if wanted.count() < sets.count():  # some ids are repeated
-            sets = cut(sets.dropDuplicates(["node"]), "shingle-sets")
-        good = verified(pairs, sets)
-        found = cut(good if found is None else found.union(good), "shingle-links")
-        roots = cut(components(found), "shingle-roots")
-    of_node = low.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def one_a_node(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("n", *names, "keys")])
+
+    rows = cut(shingle_sets(src, k), "shingle-rows")
+    nodes = cut(one_a_node(rows), "shingle-nodes")
+    hot = common_keys(nodes)
+    if len(hot):
+        listed = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"key": hot.view(np.int64)})))  # HOT_KEYS at most
+        again = cut(nodes.select("node", "low", F.explode("keys").alias("key")).join(listed, "key", "left_semi").select("node", "low").distinct(), "shingle-again")
+        anew = shingle_sets(src.join(again.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k, hot)
+        anew = one_a_node(anew).join(again.select("node"), "node", "left_semi")
+        nodes = cut(nodes.join(again.select("node"), "node", "left_anti").unionByName(anew), "shingle-nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    several = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / KEY_SLICE).cast("int").alias("slices"))
+    shared = cut(keyed.join(several, "key"), "shingle-shared")
+    shared = salted_join(shared, nodes.select("node", "n", *names).join(shared.select("node").distinct(), "node", "left_semi"), "node", "inner", 1)
+    near = cut(components(compared(shared, names, WIDE_RADIUS)).withColumnRenamed("root", "key"), "shingle-near")
+
+    members = cut(near.join(nodes.select("node", "low", "n", *names), "node"), "shingle-members")
+    load = members.groupBy("key").agg(F.ceil(F.sum("n") / SET_SLICE).cast("int").alias("slices"))
+    members = salted_join(members, load, "key", "inner")
+    sets = shingle_sets(src.join(members.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k, with_sets=True)
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    roots = components(compared(members.drop("low").join(sets, "node"), names, WIDE_RADIUS, with_sets=True))
+
+    of_node = cut(nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
     lowest = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = salted_join(of_node.select("node", "root"), lowest, "root").select("node", "component_id")
     return salted_join(rows.select("id", "node"), of_node, "node").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id; of rows with an equal id one.
+    """``docs`` with one row of each near-duplicate group: that of the smallest id; of rows with an equal id the one whose columns hash lowest.
 
-    Groups are those of ``similar_groups``: fingerprints decide nothing here.
+    Groups are those of ``similar_groups``: fingerprints alone decide nothing here.
     Rows with a null id are kept: nothing tells them apart.
     """
     groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k)
     stay = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.join(stay, id_col, "left_semi")
+    kept = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import fields, small_batches
 
-#: Labelled rows and characters of a labelled text that training takes at most; scoring knows no such bound.
+#: Labelled rows that training takes at most, each with its whole text; scoring knows no such bound.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 DIM = 16
 WINDOW = 8
@@ -184,15 +183,28 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of their ids; of repeated ids and labels one counts.
 
-    Rows with a null id, label or text, those held out and texts over
-    ``SAMPLE_CHARS`` characters are not learned from.
+    Rows with a null id, label or text and those held out are not learned from.
+    The rows of the sample meet in one task, which trains; the driver gets the
+    finished weights alone, and a lost executor costs one more training.
     """
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # at most SAMPLE_ROWS narrow rows are broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(float))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("double").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+        model = train(texts, np.array(labels, np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.margin.astype(np.float64).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["margin", "bias"])
+
+    got = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, "margin binary, bias double").first()
+    if got is None:  # nothing to learn from: the task may not even run
+        return train([], np.zeros(0))
+    return Model(np.frombuffer(got["margin"], np.float64), got["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
