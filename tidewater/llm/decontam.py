@@ -1,16 +1,17 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations only.
 
-1. Seeds. Every five-word shingle of every document is looked up among the
-   shingles of the items. A window that holds none of them has similarity zero,
-   so what is left out here can't be a match. A pair of document and item goes on
-   if the seeds in it weigh enough for the threshold at all (lossless).
-2. Windows as long as the item, in words, are laid at every seed, but where too
-   few seeds follow for the threshold, and at every alignment that a seed
-   supports. Any other window does no better than the one at its first seed, so
-   moved parts of a passage are found as well. Their SimHash (64 bits, each shingle as often as it occurs) is
-   met with the item's by multi-index Hamming blocks: with ``RADIUS`` + 1 blocks,
-   two fingerprints within the radius agree in one at least.
-3. Candidates are verified by exact weighted-shingle similarity, the weight of a
+1. Seeds. A window that holds no shingle of an item has similarity zero with it,
+   so only documents that hold some are looked at, and only pairs of document and
+   item whose seeds weigh enough for the threshold at all. Items of fewer words
+   than ``K`` are one shingle of their own length, and documents are cut into
+   shingles of those lengths as well, so that short items are found inside texts.
+2. Windows as long as an item, in words, start at every seed after which enough
+   others follow. Any other window does no better than the one at its first seed:
+   moving it there drops what isn't shared and takes in more at its end.
+3. Their SimHash (64 bits, each shingle as often as it occurs) meets those of all
+   items of that length by multi-index Hamming blocks: with ``RADIUS`` + 1
+   blocks, two fingerprints within the radius agree in one at least.
+4. Candidates are verified by exact weighted-shingle similarity, the weight of a
    shingle being its count: shared weight over the item's weight.
 
 Fingerprinting every window of every item size would take some 40 sizes x all
@@ -26,8 +27,8 @@ from tidewater.llm.shared import cut
 
 K = 5
 THRESHOLD = 0.8
-#: 0.8 of weight shared leaves 11.8 of 64 bits differing on average (standard deviation 3.1).
-RADIUS = 22
+#: 0.8 of weight shared leaves 11.8 of 64 bits differing on average (standard deviation 3.1): five deviations and more.
+RADIUS = 28
 
 
 def plain_words(text: Column) -> Column:
@@ -35,19 +36,27 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(src: DataFrame, words: str, *keep: str) -> DataFrame:
-    """A row ``(*keep, pos, h)`` for every K neighbouring words; items and documents of fewer words give one shingle of what they have."""
-    n = F.greatest(F.size(words) - (K - 1), F.lit(1))
-    ahead = [F.slice(words, i + 1, n) for i in range(K)]
-    rows = src.where(F.size(words) > 0).select(*keep, F.posexplode(F.arrays_zip(*[a.alias(f"w{i}") for i, a in enumerate(ahead)])).alias("pos", "s"))
-    return rows.select(*keep, "pos", F.xxhash64(*[F.col(f"s.w{i}") for i in range(K)]).alias("h"))
+def shingles(src: DataFrame, words: str, *keep: str, k: int = K) -> DataFrame:
+    """A row ``(*keep, pos, h)`` for every ``k`` neighbouring words; fewer words: none."""
+    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    ahead = [F.slice(words, i + 1, n).alias(f"w{i}") for i in range(k)]
+    rows = src.where(F.size(words) >= k).select(*keep, F.posexplode(F.arrays_zip(*ahead)).alias("pos", "s"))
+    return rows.select(*keep, "pos", F.xxhash64(*[F.col(f"s.w{i}") for i in range(k)]).alias("h"))
 
 
-def item_shingles(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, len, weight, h, pos)``: equal item ids with different texts count as items of their own through ``len`` and hash."""
-    src = items.select(F.col(item_id).alias("item"), plain_words(F.col(text_col)).alias("w")).where(F.col("item").isNotNull()).distinct()
-    src = src.select("item", "w", F.size("w").alias("len"), F.xxhash64("item", F.concat_ws(" ", "w")).alias("uid"))
-    return shingles(src, "w", "item", "uid", "len").withColumn("weight", F.greatest(F.col("len") - (K - 1), F.lit(1)))
+def shingles_of_lengths(src: DataFrame, words: str, lengths: list[int], *keep: str) -> DataFrame:
+    """``shingles`` of every length of ``lengths``, with their ``k``."""
+    out = None
+    for k in lengths:
+        rows = shingles(src, words, *keep, k=k).withColumn("k", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def item_words(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item, uid, len, k, w)``: equal item ids with different texts are items of their own, told apart by ``uid``; ``k`` is the length of an item's shingles."""
+    src = items.select(F.col(item_id).alias("item"), plain_words(F.col(text_col)).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0)).distinct()
+    return src.select("item", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(K)).alias("k"), F.xxhash64("item", F.concat_ws(" ", "w")).alias("uid"))
 
 
 def simhash(hashes: str = "h", times: str = "times") -> Column:
@@ -71,43 +80,44 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """``(id, item, similarity, distance)`` of every document and item with a window of the threshold or more; the best window counts.
 
     ``similarity`` is the window's shared shingle weight over the item's. Rows
-    with a null id, null, empty or wordless texts and items match nothing; texts
-    of fewer than five words are one shingle of their own; repeated rows are
-    taken once, rows with one id and several texts count as one document. Ties
-    between windows leave the same similarity and the least distance. Other
+    with a null id, null, empty or wordless texts and items match nothing; items
+    of fewer than five words are one shingle, to be found anywhere; repeated rows
+    are taken once, rows with one id and several texts count as one document.
+    Ties between windows leave the same similarity and the least distance. Other
     columns are ignored. Items are a small table, but nothing here depends on it:
     the engine broadcasts them only if it finds them small.
     """
-    grams = item_shingles(items)
-    weights = grams.groupBy("uid", "h").agg(F.count("*").alias("item_times"), F.first("weight").alias("weight"))
-    known = grams.select("h").distinct()
+    known = cut(item_words(items), "items")
+    lengths = sorted(r["k"] for r in known.select("k").distinct().collect()) or [K]  # K values at most
+    grams = cut(shingles_of_lengths(known.withColumnRenamed("k", "own"), "w", lengths, "item", "uid", "len", "own").where("k = own").drop("own"), "item-shingles")
+    grams = grams.withColumn("weight", F.col("len") - F.col("k") + 1)
+    weights = grams.groupBy("uid", "k", "h").agg(F.count("*").alias("item_times"), F.first("len").alias("len"), F.first("weight").alias("weight"))
     src = docs.select(F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("w")).where(F.col("id").isNotNull())
-    found = shingles(src, "w", "id").join(known, "h", "left_semi")
+    found = shingles_of_lengths(src, "w", lengths, "id").join(grams.select("k", "h").distinct(), ["k", "h"], "left_semi")
     # Seeds enough? Of each shingle no more than the item has can be shared.
-    seeds = cut(found.groupBy("id", "h").agg(F.count("*").alias("times"), F.collect_set("pos").alias("at")), "seeds")
-    hits = seeds.join(weights, "h")
-    able = hits.groupBy("id", "uid").agg(F.sum(F.least("times", "item_times")).alias("w"), F.first("weight").alias("weight")).where(F.col("w") >= threshold * F.col("weight")).select("id", "uid")
-    able = cut(able, "able")
-    placed = seeds.select("id", "h", F.explode("at").alias("pos")).join(grams.select("h", "item", "uid", "len", "weight", F.col("pos").alias("offset")), "h").join(able, ["id", "uid"])
-    aligned = placed.select("id", "item", "uid", "len", "weight", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
+    seeds = cut(found.groupBy("id", "k", "h").agg(F.count("*").alias("times"), F.collect_set("pos").alias("at")), "seeds")
+    hits = seeds.join(weights, ["k", "h"])
+    able = hits.groupBy("id", "uid").agg(F.sum(F.least("times", "item_times")).alias("w"), F.first("weight").alias("weight"), F.first("len").alias("len"), F.first("k").alias("k")).where(F.col("w") >= threshold * F.col("weight"))
+    able = cut(able.select("id", "uid", "k", "len", "weight"), "able")
     # A window that starts at a seed reaches the threshold only if so many seeds more lie in it.
     more = F.ceil(threshold * F.col("weight") - 1e-9).cast("int") - 1
-    run = placed.groupBy("id", "item", "uid", "len", "weight").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    run = hits.join(able.select("id", "uid"), ["id", "uid"]).groupBy("id", "uid", "k", "len", "weight").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     enough = F.transform("at", lambda p, i: F.when(F.get("at", i + more) - p < F.col("weight"), p))
-    at_seeds = run.select("id", "item", "uid", "len", "weight", F.explode(enough).alias("start")).where(F.col("start").isNotNull())
-    starts = aligned.union(at_seeds).distinct()
+    starts = run.select("id", "k", "len", F.explode(enough).alias("start")).where(F.col("start").isNotNull()).distinct()
     texts = src.join(able.select("id").distinct(), "id", "left_semi").distinct()
-    window = starts.join(texts, "id").select("id", "item", "uid", "start", "weight", F.slice("w", F.col("start") + 1, F.col("len")).alias("part"))
-    parts = shingles(window, "part", "id", "item", "uid", "start", "weight").groupBy("id", "item", "uid", "start", "weight", "h").agg(F.count("*").alias("times"))
-    of_window = parts.groupBy("id", "item", "uid", "start", "weight").agg(simhash().alias("fp"))
-    of_item = weights.withColumnRenamed("item_times", "times").groupBy("uid").agg(simhash().alias("item_fp"))
+    window = starts.join(texts, "id").select("id", "k", "len", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("part"))
+    window = window.withColumnRenamed("k", "own")
+    parts = shingles_of_lengths(window, "part", lengths, "id", "own", "len", "start").where("k = own").drop("own")
+    parts = parts.groupBy("id", "k", "len", "start", "h").agg(F.count("*").alias("times"))
+    of_window = parts.groupBy("id", "k", "len", "start").agg(simhash().alias("fp"))
+    of_item = weights.withColumnRenamed("item_times", "times").groupBy("uid", "len").agg(simhash().alias("item_fp"))
     left = of_window.select("*", F.inline(blocks("fp")))
     right = of_item.select("*", F.inline(blocks("item_fp")))
-    near = left.join(right, ["uid", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
-    near = near.groupBy("id", "uid", "start").agg(F.min("distance").alias("distance"))
-    shared = parts.join(weights.select("uid", "h", "item_times"), ["uid", "h"]).join(near, ["id", "uid", "start"])
-    sims = shared.groupBy("id", "item", "uid", "start", "weight", "distance").agg(F.sum(F.least("times", "item_times")).alias("both"))
-    sims = sims.withColumn("similarity", F.col("both") / F.col("weight")).where(F.col("similarity") >= threshold)
+    near = left.join(right, ["len", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
+    near = near.groupBy("id", "uid", "len", "start").agg(F.min("distance").alias("distance"))
+    shared = parts.join(weights.select("uid", "k", "len", "h", "item_times", "weight"), ["k", "len", "h"]).join(near, ["id", "uid", "len", "start"])
+    sims = shared.groupBy("id", "uid", "start", "weight", "distance").agg(F.sum(F.least("times", "item_times")).alias("both"))
+    sims = sims.withColumn("similarity", F.col("both") / F.col("weight")).where(F.col("similarity") >= threshold).join(known.select("uid", "item"), "uid")
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("d")))
     return sims.groupBy("id", "item").agg(best.alias("b")).select("id", "item", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.d")).cast("int").alias("distance"))
 
