@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import random
+import wave
 from pathlib import Path
 
 import numpy as np
@@ -177,8 +179,10 @@ def slow_matches(docs, items):
         for i, it in items:
             v = words(it)
             need = Counter(grams(v))
-            for s in range(max(1, len(w) - 4)):
-                got = Counter(grams(w[s : s + len(v)]))
+            k = min(5, len(v))
+            for s in range(max(1, len(w) - k + 1)):
+                part = w[s : s + len(v)]
+                got = Counter(tuple(part[i : i + k]) for i in range(len(part) - k + 1))
                 if need and sum((got & need).values()) >= 0.8 * sum(need.values()):
                     out[d, i] = max(out.get((d, i), 0), round(sum((got & need).values()) / sum(need.values()), 6))
     return out
@@ -209,6 +213,27 @@ def test_decontamination_by_brute_force(spark):
     assert decontam.matches(df, bench.limit(0)).count() == decontam.matches(df.limit(0), bench).count() == 0
 
 
+def test_short_items_and_repetition_by_brute_force(spark):
+    rng = random.Random(33)
+    items = [(1, "quick brown fox"), (2, "zebra"), (3, "alpha beta gamma delta"), (4, "one two three four five"), (5, "la " * 30), (6, "uno dos"), (6, "tres cuatro")]
+    docs = [f"{text(20, rng)} the Quick, brown fox {text(20, rng)}", "zebra", f"a zebra {text(3, rng)}", "alpha beta gamma", f"x alpha beta gamma delta y {text(9, rng)}", f"{text(9, rng)} one two three four five", "one two three four", "la " * 3000, "la " * 25, "uno dos", "y tres cuatro z", "", None]
+    rows = list(enumerate(docs))
+    got = {(r["id"], r["item"]): r["similarity"] for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == slow_matches(rows, items) and {i for _, i in got} == {1, 2, 3, 4, 5, 6}
+
+
+def test_random_windows_by_brute_force(spark):
+    """Texts of few words, so that shingles repeat everywhere and many windows come near the threshold."""
+    rng = random.Random(34)
+    few = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choice(few) for _ in range(rng.choice([7, 12, 12, 20])))) for i in range(12)]
+    docs = [(d, " ".join(rng.choice(few) for _ in range(rng.randint(0, 90)))) for d in range(60)]
+    docs += [(100 + i, " ".join(w if rng.random() > 0.03 else "z" for w in t.split())) for i, t in items]
+    got = {(r["id"], r["item"]): r["similarity"] for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = slow_matches(docs, items)
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()} and len(want) > 12
+
+
 def test_moved_parts_by_brute_force(spark):
     rng = random.Random(31)
     items = [(i, text(rng.randint(24, 90), rng)) for i in range(25)]
@@ -287,6 +312,38 @@ def test_wav_round_trip():
     assert len(chroma.decode_wav(chroma.encode_wav(x, 8000))) == 4000 and len(chroma.decode_wav(None)) == 0
 
 
+def test_broken_and_other_recordings():
+    x = np.sin(np.arange(4000) / 9) * 0.5
+    good = chroma.encode_wav(x)
+    assert all(len(chroma.decode_wav(d)) == 0 for d in (b"", b"RIFF", b"no wave at all", good[:30]))
+    assert len(chroma.decode_wav(good[:-1001])) == 3499
+    for width, pack in ((1, lambda v: np.uint8(v * 127 + 128).tobytes()), (3, lambda v: b"".join(int(k * 8388607).to_bytes(3, "little", signed=True) for k in v)), (4, lambda v: np.int32(v * 2147483647).tobytes())):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(2)
+            w.setsampwidth(width)
+            w.setframerate(chroma.RATE)
+            w.writeframes(pack(np.repeat(x, 2)))
+        assert np.abs(chroma.decode_wav(out.getvalue()) - x).max() < 0.02
+
+
+def test_recall_on_noisy_and_changed_clips():
+    """Clips that start elsewhere, with noise and three or eight of 64 notes changed, are found again; strangers are not."""
+    rng = np.random.default_rng(8)
+    melodies = [rng.uniform(-0.4, 0.4, 64) for _ in range(80)]
+    prints = [chroma.items(chroma.chroma(chroma.render(list(v)))) for v in melodies]
+    match = lambda g: bool(g and g[1] >= chroma.MIN_VOTES and g[3] / (32 * g[2]) <= chroma.MAX_BIT_ERROR)
+    for noise, changed, least in ((0.03, 0, 1.0), (0.01, 3, 0.98), (0.01, 8, 0.9)):
+        found = 0
+        for v, a in zip(melodies, prints):
+            w = v.copy()
+            w[rng.integers(0, 64, changed)] = rng.uniform(-0.4, 0.4, changed)
+            clip = chroma.render(list(w))[rng.integers(0, 16) * chroma.HOP :]
+            found += match(chroma.align(a, chroma.items(chroma.chroma(clip + rng.normal(0, noise, len(clip))))))
+        assert found >= least * len(melodies)
+    assert not any(match(chroma.align(a, b)) for i, a in enumerate(prints) for b in prints[:i])
+
+
 def test_search_by_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [rng.normal(0, 0.2, 64) for _ in range(30)]

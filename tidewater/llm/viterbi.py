@@ -1,20 +1,30 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The search keeps a window of back pointers. Whenever the paths that survive all
-run through one boundary, the ids before it are committed and the window starts
-anew there; so memory is bounded by the stretch between two such boundaries and
-not by the text. A boundary that no piece spans is such a point for certain: in
-the vocabularies served here a word mark is never inside a piece but for runs of
-marks. Segments between those points recur, so their ids are kept in a bounded
-memo; what has no such point goes through the window.
+``stream`` is the search. It takes characters in chunks and relaxes one start
+after another along the trie of pieces, so it looks no further ahead than the
+longest piece. When all back pointers of boundaries that pieces to come can
+start at run through one boundary, the ids before it are committed and the
+window starts anew there. It tests that when the window has doubled since the
+last test in vain, so the work is linear in the text, whatever it holds. Ties
+go to the shorter last piece: then the paths of a run of one character mostly
+meet at the multiples of a piece, and the window stays some pieces long. Where
+the best beginning of a run hangs on its length (an odd sign joined to the mark
+in front of it), its paths do not meet before its end; the window then holds
+two numbers for each character of that run, since nothing less can be right.
+
+A boundary that no piece spans is such a meeting for certain: in the
+vocabularies served here a word mark is never inside a piece but for runs of
+marks. Stretches between those recur, so what the search gave for short ones is
+kept in a bounded memo.
 
 Scores are the vocabulary's own. Characters outside it cost ten less than the
-lowest score and decompose into byte pieces, which have no other use.
+lowest score and decompose into byte pieces, which have no other use; so does
+the word mark itself where a text holds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import md5
 from itertools import chain
@@ -31,8 +41,11 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 MEMO = 500_000
-#: Longer segments are encoded through the window and not kept in the memo.
+#: Longer segments are not kept in the memo.
 MEMO_CHARS = 48
+#: Characters that the search gets at a time, and that ``encode`` marks and splits at a time.
+CHUNK = 1024
+BLOCK = 65_536
 #: What a Python worker keeps from task to task.
 _LOADED: dict[tuple, Pieces] = {}
 
@@ -90,41 +103,57 @@ class Pieces:
         self.__dict__ |= {k: getattr(_LOADED[key], k) for k in ("memo", "trie", "inside")}
 
 
-def stream(chars: Iterator[str] | str, v: Pieces) -> Iterator[int]:
-    """Ids of a stream of characters, given out as soon as no later character can change them; ties go to the longer last piece."""
-    window = ""
+def stream(chunks: Iterable[str], v: Pieces) -> Iterator[int]:
+    """Ids of a stream of characters, given out as soon as no later character can change them; ties go to the shorter last piece."""
+    window, at, test = "", 0, 2 * v.longest  # at: the next start; test: where to look whether the paths have met
     best, back = [0.0], [0]  # for each boundary of the window: the score that leads there and where its last piece began
-    for c in chars:
-        window += c
-        n = len(window)
-        top, at = -np.inf, n - 1
-        for i in range(max(0, n - v.longest), n):
-            s = v.score.get(window[i:n])
-            if s is None:
-                if i != n - 1:
-                    continue
-                s = v.unknown
-            if best[i] + s > top:
-                top, at = best[i] + s, i
-        best.append(top)
-        back.append(at)
-        # Pieces to come start at one of the last ``longest`` boundaries: where their paths meet is settled.
-        if n >= 2 * v.longest:
-            alive = set(range(n - v.longest + 1, n + 1))
-            while len(alive) > 1:
-                last = max(alive)
-                alive.discard(last)
-                alive.add(back[last])
-            met = alive.pop()
-            if met:
-                yield from _path(window, back, met, v)
-                window = window[met:]
-                shift = best[met]
-                best = [s - shift for s in best[met:]]
-                back = [0, *(b - met for b in back[met + 1 :])]
+    trie, known, unknown, longest = v.trie, v.ids, v.unknown, v.longest
+    for chunk in chain(chunks, (None,)):
+        if chunk is not None:
+            window += chunk
+            best += [-np.inf] * len(chunk)
+            back += [0] * len(chunk)
+        stop = len(window) if chunk is None else len(window) - longest + 1
+        while at < stop:
+            so_far, children, end = best[at], trie, at
+            for c in window[at : at + longest]:
+                if c not in children:
+                    break
+                s, children = children[c]
+                end += 1
+                if s is not None and so_far + s >= best[end]:
+                    best[end], back[end] = so_far + s, at
+            if window[at] not in known and so_far + unknown >= best[at + 1]:
+                best[at + 1], back[at + 1] = so_far + unknown, at
+            at += 1
+            if at >= test:
+                if met := _meeting(best, back, at, min(at + longest, len(best))):
+                    yield from _path(window, back, met, v)
+                    window, shift = window[met:], best[met]
+                    best = [s - shift for s in best[met:]]
+                    back = [0, *(b - met for b in back[met + 1 :])]
+                    at -= met
+                    stop -= met
+                    test = max(at, longest) + longest
+                else:
+                    test *= 2
     yield from _path(window, back, len(window), v)
 
 
+def _meeting(best: list[float], back: list[int], start: int, end: int) -> int:
+    """The last boundary through which the paths to all reached boundaries from ``start`` on go; 0: they meet nowhere else."""
+    alive = {i for i in range(start, end) if best[i] > -np.inf}
+    while len(alive) > 1:
+        last = max(alive)
+        alive.discard(last)
+        alive.add(back[last])
+    return alive.pop()
+
+
+def chunked(text: str) -> Iterator[str]:
+    return (text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
+
+
 def _path(window: str, back: list[int], end: int, v: Pieces) -> list[int]:
     out: list[int] = []
     while end:
@@ -146,49 +175,51 @@ def segment_ids(segment: str, v: Pieces) -> tuple[int, ...]:
         return got
     inside = v.inside
     cuts = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in inside]
-    out: tuple[int, ...] = ()
+    out: list[int] = []
     for start, end in zip([0, *cuts], [*cuts, len(segment)]):
         part = segment[start:end]
         got = v.memo.get(part)
         if got is None:
-            if len(part) > MEMO_CHARS:
-                got = tuple(stream(part, v))
-            else:
+            got = tuple(stream(chunked(part), v))
+            if len(part) <= MEMO_CHARS:
                 if len(v.memo) >= MEMO:
                     v.memo.clear()
-                got = v.memo[part] = tuple(_short(part, v))
+                v.memo[part] = got
         out += got
     if len(segment) <= MEMO_CHARS:
-        v.memo[segment] = out
-    return out
+        v.memo[segment] = tuple(out)
+    return tuple(out)
 
 
-def _short(segment: str, v: Pieces) -> list[int]:
-    """As ``stream``, for a segment that fits the window: forward along the trie, so that a dead prefix ends the look-ups."""
-    n = len(segment)
-    best, back = [-np.inf] * (n + 1), [0] * (n + 1)
-    best[0] = 0.0
-    root, unknown = v.trie, v.unknown
-    for i in range(n):
-        so_far, children, end = best[i], root, i
-        for c in segment[i:]:
-            if c not in children:
-                break
-            s, children = children[c]
-            end += 1
-            if s is not None and so_far + s > best[end]:
-                best[end] = so_far + s
-                back[end] = i
-        if so_far + unknown > best[i + 1] and segment[i] not in v.ids:
-            best[i + 1], back[i + 1] = so_far + unknown, i
-    return _path(segment, back, n, v)
+def blocks(text: str) -> Iterator[str]:
+    """A text in blocks that begin where a run of spaces does, so that no piece spans two; what has no space is one block."""
+    start = 0
+    while len(text) - start > BLOCK:
+        end = text.find(" ", start + BLOCK)
+        while end > 0 and text[end - 1] == " ":
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:]
 
 
 def encode(text: str | None, v: Pieces) -> list[int]:
     """Ids of a text as the model's normaliser takes it: a mark in front, spaces as marks, nothing removed. Null and empty: none."""
     if not text:
         return []
-    marked = MARK + text.replace(MARK, " ").replace(" ", MARK)
+    out: list[int] = []
+    for i, part in enumerate(text.split(MARK)):
+        if i:  # the mark itself, which the vocabulary takes for a space
+            out += [v.byte_ids[b] for b in MARK.encode()]
+        for j, block in enumerate(blocks(part)):
+            out += _encode_block(block, v, not i and not j)
+    return out
+
+
+def _encode_block(text: str, v: Pieces, first: bool) -> list[int]:
+    marked = MARK * first + text.replace(" ", MARK)
     # A mark between two other characters starts a segment; runs of marks stay together.
     apart = marked.replace(MARK, " " + MARK)
     while f"{MARK} {MARK}" in apart:
@@ -216,10 +247,9 @@ def encode_table(docs: DataFrame, v: Pieces, id_col: str = "doc_id", text_col: s
     """``(id, n_ids, ids_digest, round_trip[, ids])`` for every row, whole texts.
 
     ``ids_digest`` is the MD5 of the ids as little-endian 32-bit integers;
-    ``round_trip`` tells whether decoding gives the text back. (A word mark
-    U+2581 in a text is encoded as the space it stands for; such a text comes
-    back with spaces and its ``round_trip`` is false.) Null and empty texts have no ids and
-    round-trip; repeated rows give repeated rows. Other columns are ignored.
+    ``round_trip`` tells whether decoding gives the text back. Null and empty
+    texts have no ids and round-trip; repeated rows give repeated rows. Other
+    columns are ignored.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
