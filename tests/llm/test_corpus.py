@@ -286,11 +286,43 @@ def test_warc_files_hold_whole_records(spark, tmp_path):
     assert sorted(r["record_type"] for r in recs.collect()) == ["response", "warcinfo"]
     assert recs.select("record_id").distinct().count() == 2 and sorted(map(str, recs.collect())) == sorted(map(str, recs.collect()))
     arc.write_warc(recs, f"{tmp_path}/w")
-    parsed = [r for f in Path(f"{tmp_path}/w").glob("*.gz") for r in arc.parse_warc(gzip.decompress(f.read_bytes()))]
+    parsed = [r for f in Path(f"{tmp_path}/w").glob("part-*") for r in arc.parse_warc(gzip.decompress(f.read_bytes()))]
     heads = {h["warc-type"]: (h, b) for h, b in parsed}
     assert heads["response"][1].endswith(b"\xff\xfe raw") and heads["response"][0]["warc-date"] == "2020-01-01T00:00:00Z"
 
 
+def warc(i, block=b"x" * 10):
+    return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_any_members_are_read_and_faults_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arc, "PIECE", 7)
+    whole = [warc(1), warc(2, b"\r\n\r\nWARC/1.1\r\n" * 50), warc(3, b"")]
+    files = {"member a record": b"".join(map(gzip.compress, whole)), "one member": gzip.compress(b"".join(whole)), "plain": b"".join(whole), "odd members": gzip.compress(b"".join(whole)[:70]) + arc.EMPTY_MEMBER + gzip.compress(b"".join(whole)[70:]) + b"\0" * 9}
+    for content in files.values():
+        assert [h["warc-record-id"] for h, _ in arc.parse_warc(arc.inflate(content))] == ["1", "2", "3"]
+    broken = [files["member a record"][:-5], b"".join(whole)[:-9], b"no archive", warc(1) + b"WARC/1.1\r\nContent-Length: x\r\n\r\n"]
+    df = spark.createDataFrame([(x,) for x in [*files.values(), *broken, b""]], "content binary")
+    got = arc.read_warc(df, {"WARC-Record-ID": "i"}).collect()
+    assert sum(r["i"] is not None for r in got) == 12 + 3 + 2 + 0 + 1 and sum(r["error"] is not None for r in got) == 4
+
+
+def test_broken_archives_are_told(spark):
+    one = arc.arc_bytes([("http://a/", "1.1.1.1", "20200101000000", "text/html", b"HTTP/1.1 200 OK\r\n\r\nx"), ("http://b/", "1.1.1.1", "20200101000000", "text/html", b"y")])
+    rows = [("good.arc", one), ("good.arc.gz", gzip.compress(one)), ("short.arc", one[:-4]), ("none.arc", b"nothing"), ("empty-version.arc", b"filedesc://x 0.0.0.0 20240101000000 text/plain 2\n\n\n"), ("bad.gz", b"\x1f\x8bzz")]
+    got = arc.convert(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert sum(r["error"] is None for r in got) == 3 + 3 + 2 and sorted(r["error"].split(":")[0] for r in got if r["error"]) == ["bad.gz", "empty-version.arc", "none.arc", "short.arc"]
+
+
+def test_revisits_name_what_they_refer_to(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", "other")], "page_id long, url string, html string")
+    arc.write_warc(arc.refer(arc.convert(arc.pages_as_arc(pages), keep=("page_id",), version_blocks=False), "page_id"), f"{tmp_path}/w", ("page_id",))
+    heads = {h["warc-x-page_id"]: h for f in Path(f"{tmp_path}/w").glob("part-*") for h, _ in arc.parse_warc(arc.inflate(f.read_bytes()))}
+    assert heads["1"]["warc-type"] == "revisit" and heads["1"]["warc-refers-to"] == heads["2"]["warc-record-id"]
+    assert heads["1"]["warc-refers-to-target-uri"] == "http://b/" and heads["1"]["warc-refers-to-date"] == heads["2"]["warc-date"]
+    assert "warc-refers-to" not in heads["2"] and "warc-refers-to" not in heads["3"]
+
+
 # -- audio ------------------------------------------------------------------------
 
 

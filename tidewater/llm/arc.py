@@ -12,16 +12,19 @@ A WARC record takes over URL, address, date and block; its identifier is made
 of the archive's name and the record's offset, so that a second conversion
 gives the same; types are ``warcinfo`` for the first record, ``response`` for
 HTTP, ``resource`` for others, ``revisit`` for a payload that another record
-holds. Digests are SHA-1 in base 32.
+holds. Digests are SHA-1 in base 32. WARC files hold a gzip member a record, and
+any number of members is read. Archives that break off or don't parse give the
+records before the fault and a row that tells it.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,6 +45,11 @@ HEADINGS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS_PER_FILE = 2000
+#: Compressed bytes that are inflated at a time; bytes that a record's header may have.
+PIECE = 1 << 16
+HEADER = 1 << 20
+#: What stands between the members of two records: a member of nothing, as Spark's text writer separates lines by something.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
 @dataclass
@@ -79,9 +87,10 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if not version:
             if not parts[0].startswith("filedesc:"):
                 raise ValueError("the first record is no version block")
-            version = int(data[end + 1 : end + 3].split()[0])
-            if version not in FIELDS:
-                raise ValueError(f"unknown version {version}")
+            about = data[end + 1 : end + 3].split()
+            if not about or about[0] not in (b"1", b"2"):
+                raise ValueError(f"unknown version {about[:1]}")
+            version = int(about[0])
             names = FIELDS[version if len(parts) == len(FIELDS[version]) else 1]
         else:
             names = FIELDS[version]
@@ -111,6 +120,29 @@ def arc_bytes(records: Iterable[tuple[str, str, str, str, bytes]], version: int
     return b"".join(out)
 
 
+def inflate(content: bytes) -> Iterator[bytes]:
+    """The bytes of a gzip file, member after member, or of a plain one, in pieces. Raises ValueError on a broken one."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("the last gzip member is cut short")
+            piece = view[at : at + PIECE]
+            try:
+                out = member.decompress(piece)
+            except zlib.error as e:
+                raise ValueError(f"gzip member near byte {at}: {e}") from None
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+        while at < len(content) and not content[at]:  # padding
+            at += 1
+
+
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -122,35 +154,42 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-CONVERTED = "record_id string, record_type string, uri string, ip string, date string, content_type string, payload_bytes long, payload_digest string, block_digest string, block binary"
+CONVERTED = "record_id string, record_type string, uri string, ip string, date string, content_type string, payload_bytes long, payload_digest string, block_digest string, block binary, error string"
 
 
 def convert(archives: DataFrame, path_col: str = "path", content_col: str = "content", keep: tuple[str, ...] = (), version_blocks: bool = True) -> DataFrame:
     """WARC records of ARC files, one row a record: ``keep``, then the columns of ``CONVERTED``.
 
-    ``path`` is the archive's name (null: empty), ``content`` its bytes (null or
-    empty: no records). Equal archives under equal names give equal identifiers,
-    as they are the same records.
+    ``path`` is the archive's name (null: empty), ``content`` its bytes, gzipped
+    or not (null or empty: no records). Equal archives under equal names give
+    equal identifiers, as they are the same records. What follows a fault in an
+    archive is lost; a row with an ``error``, null but for ``keep``, tells it.
     """
     small_batches(archives.sparkSession)
     src = archives.select(*keep, F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("_path"), F.col(content_col).alias("_content"))
     names = [x.split(" ")[0] for x in CONVERTED.split(", ")]
 
+    def records(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for r in parse_arc(b"".join(inflate(content))):
+                first = r.url.startswith("filedesc:")
+                if first and not version_blocks:
+                    continue
+                http = r.block.startswith(b"HTTP/")
+                kind = "warcinfo" if first else "response" if http else "resource"
+                rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{r.offset}')}>"
+                media = "application/http; msgtype=response" if http else r.content_type
+                payload = r.payload
+                yield rid, kind, r.url, r.ip, warc_date(r.date), media, len(payload), digest(payload), digest(r.block), r.block, None
+        except ValueError as e:
+            yield *[None] * (len(names) - 1), f"{path}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, at = [], []
             for i, (path, content) in enumerate(zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist())):
-                for r in parse_arc(content or b""):
-                    first = r.url.startswith("filedesc:")
-                    if first and not version_blocks:
-                        continue
-                    http = r.block.startswith(b"HTTP/")
-                    kind = "warcinfo" if first else "response" if http else "resource"
-                    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{r.offset}')}>"
-                    media = "application/http; msgtype=response" if http else r.content_type
-                    payload = r.payload
-                    rows.append((rid, kind, r.url, r.ip, warc_date(r.date), media, len(payload), digest(payload), digest(r.block), r.block))
-                    at.append(i)
+                rows += records(path, content or b"")
+                at += [i] * (len(rows) - len(at))
             cols = list(zip(*rows)) if rows else [[] for _ in names]
             kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "block" else pa.string() for n in names]
             kept = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
@@ -167,26 +206,35 @@ def header_block(block: Column) -> Column:
 
 
 def refer(records: DataFrame, order: str) -> DataFrame:
-    """``records`` with ``refers_to``: for those whose payload digest another record with a larger ``order`` has, the largest one's ``order``; else null.
-
-    Digests gather in partial aggregations; then each record finds its digest in
-    a salted join, so a payload that a third of the records share is no task of
-    its own. Of records that tie on digest and order each stays a response.
+    """``records`` with ``refers_to`` and ``refers_record``, ``refers_uri``, ``refers_date``.
+
+    They are the ``order``, identifier, URI and date of the record with the
+    largest ``order`` of those with an equal payload digest, if that is larger
+    than the record's own; else null. Digests gather in partial aggregations;
+    then each record finds its digest, if several share it, in a salted join, so
+    a payload that a third of the records share is no task of its own. Of records
+    that tie on digest and order each stays a response.
     """
-    last = records.groupBy("payload_digest").agg(F.max(order).alias("_last"))
-    got = salted_join(records, last, "payload_digest", "left")
-    return got.withColumn("refers_to", F.when(F.col("_last") > F.col(order), F.col("_last"))).drop("_last")
+    last = F.max(F.struct(F.col(order).alias("at"), "record_id", "uri", "date")).alias("_last")
+    several = records.where("payload_digest is not null").groupBy("payload_digest").agg(last, F.count("*").alias("n")).where("n > 1").drop("n")
+    got = salted_join(records, several, "payload_digest", "left")
+    for name, field in (("refers_to", "at"), ("refers_record", "record_id"), ("refers_uri", "uri"), ("refers_date", "date")):
+        got = got.withColumn(name, F.when(F.col("_last.at") > F.col(order), F.col(f"_last.{field}")))
+    return got.drop("_last")
 
 
 def write_warc(records: DataFrame, path: str, extra: tuple[str, ...] = (), per_file: int = RECORDS_PER_FILE) -> None:
-    """Write records (columns of ``CONVERTED`` and ``refers_to``) as gzipped WARC 1.1 files of at most ``per_file`` records.
+    """Write records (columns of ``CONVERTED`` and ``refers_to``, and what else ``refer`` adds) as WARC 1.1 files of at most ``per_file`` records, a gzip member each.
 
-    ``extra`` columns become ``WARC-X-`` headers. Spark's text writer makes the
-    files, so any file system it knows will do; bytes pass through unchanged.
+    ``extra`` columns become ``WARC-X-`` headers; error rows are left out.
+    Spark's text writer makes the files, so any file system it knows will do;
+    bytes pass through unchanged.
     """
+    records = records.where("error is null")
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit("\r\n")), F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, header_block(F.col("block"))).otherwise(F.col("block").cast("string"))
+    origin = (("WARC-Refers-To", "refers_record"), ("WARC-Refers-To-Target-URI", "refers_uri"), ("WARC-Refers-To-Date", "refers_date"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("record_type"))),
@@ -197,6 +245,7 @@ def write_warc(records: DataFrame, path: str, extra: tuple[str, ...] = (), per_f
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Block-Digest", F.when(~revisit, F.concat(F.lit("sha1:"), F.col("block_digest")))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        *[line(name, F.col(c)) for name, c in origin if c in records.columns],
         line("WARC-X-Payload-Length", F.col("payload_bytes")),
         line("WARC-X-Refers-To", F.col("refers_to")),
         *[line(f"WARC-X-{x}", F.col(x)) for x in extra],
@@ -204,49 +253,79 @@ def write_warc(records: DataFrame, path: str, extra: tuple[str, ...] = (), per_f
         line("Content-Length", F.octet_length(block)),
         F.lit("\r\n"),
         block,
+        F.lit("\r\n\r\n"),
     )
-    (records.select(head.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0) for x in b.column(0).to_pylist()], pa.binary())], ["value"])
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, by declared length."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
+    small_batches(records.sparkSession)
+    packed = records.select(head.cast("binary").alias("value")).mapInArrow(members, "value binary")
+    as_lines = packed.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    as_lines.option("maxRecordsPerFile", per_file).text(path)
+
+
+def parse_warc(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record, by declared length; ``data`` in one or in pieces, of which one record is held."""
+    pieces, held, at = iter([data] if isinstance(data, bytes) else data), bytearray(), 0
+
+    def have(test: Callable[[], bool]) -> bool:
+        while not test():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while have(lambda: len(held) > 1) and held[:2] == b"\r\n":
+            del held[:2]
+            at += 2
+        if not held:
+            return
+        if not have(lambda: len(held) > 4) or not held.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        if not have(lambda: b"\r\n\r\n" in held or len(held) > HEADER) or (end := held.find(b"\r\n\r\n")) < 0:
+            raise ValueError(f"no end of the header of the record at byte {at}")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        length = int(head["content-length"])
-        if end + 4 + length > len(data):
+        length = head.get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError(f"the record at byte {at} declares no length")
+        size = end + 4 + int(length)
+        if not have(lambda: len(held) >= size):
             raise ValueError(f"the record at byte {at} is cut short")
-        yield head, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        while data.startswith(b"\r\n", at):
-            at += 2
+        yield head, bytes(held[end + 4 : size])
+        del held[:size]
+        at += size
 
 
 def read_warc(df_files: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Rows of gzipped or plain WARC files (``content`` as of the binaryFile source).
+    """Rows of gzipped or plain WARC files (``content`` as of the binaryFile source), record by record.
 
     ``columns`` maps header names to column names, as strings; ``block_bytes``,
-    ``payload_bytes`` and ``payload_digest`` are those of what the file holds.
+    ``held_bytes`` and ``held_digest`` are those of the block and the payload
+    that the file holds. A file with a fault gives the records before it and a
+    row that tells it in ``error``.
     """
-    names = [*columns.values(), "block_bytes", "held_bytes", "held_digest"]
+    names = [*columns.values(), "block_bytes", "held_bytes", "held_digest", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0).to_pylist():
-                data = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content
                 rows = []
-                for head, block in parse_warc(data):
-                    payload = ArcRecord(0, 1, "", "", "", "", block).payload
-                    rows.append((*(head.get(k.lower()) for k in columns), len(block), len(payload), digest(payload)))
+                try:
+                    for head, block in parse_warc(inflate(content or b"")):
+                        payload = ArcRecord(0, 1, "", "", "", "", block).payload
+                        rows.append((*(head.get(k.lower()) for k in columns), len(block), len(payload), digest(payload), None))
+                except ValueError as e:
+                    rows.append((*[None] * (len(names) - 1), str(e)))
                 cols = list(zip(*rows)) if rows else [[] for _ in names]
-                kinds = [*[pa.string()] * len(columns), pa.int64(), pa.int64(), pa.string()]
+                kinds = [*[pa.string()] * len(columns), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    schema = ", ".join([*(f"`{c}` string" for c in columns.values()), "block_bytes long, held_bytes long, held_digest string"])
+    schema = ", ".join([*(f"`{c}` string" for c in columns.values()), "block_bytes long, held_bytes long, held_digest string, error string"])
     return df_files.select("content").mapInArrow(run, schema)
 
 
@@ -279,10 +358,10 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     records = convert(pages_as_arc(pages), keep=("page_id",), version_blocks=False)
     write_warc(refer(records, "page_id"), path := scratch(spark, "warc"), ("page_id",))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     back = read_warc(files, {"WARC-Type": "record_type", "WARC-X-page_id": "page_id", "WARC-X-Refers-To": "refers_to", "WARC-X-Payload-Length": "payload_bytes", "WARC-Payload-Digest": "payload_digest"})
     return back.select(
-        F.col("page_id").cast(kind).alias("page_id"),
+        F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("page_id").cast(kind)).alias("page_id"),
         F.when(F.col("record_type") == "revisit", F.col("payload_bytes").cast("long")).otherwise(F.col("held_bytes")).alias("payload_bytes"),
         F.when(F.col("record_type") == "revisit", F.expr("substring(payload_digest, 6)")).otherwise(F.col("held_digest")).alias("payload_digest"),
         "record_type",
