@@ -59,13 +59,18 @@ def test_masking_frames(spark):
     assert df.select(mask_patterns(F.col("body"))).first()[0] == "Ann: [EMAIL]"
 
 
-EVENT = {"event_id": "E1", "session_id": "S1", "customer_id": None, "event_ts": 1_700_000_000_000, "event_type": "search"}
+EVENT = {"event_id": "E1", "session_id": "S1", "customer_id": None, "event_ts": 1_700_000_000_000, "event_type": "search", "product_id": "P1", "order_id": None, "channel": "email", "device_type": "mobile"}
 
 
 def test_avro_round_trip_and_fingerprint():
     assert avro.decode(avro.WEB_EVENT, avro.encode(avro.WEB_EVENT, EVENT)) == EVENT
-    order = {"order_id": "O1", "customer_id": "C", "order_ts": -5, "total_amount": Decimal("-12.34"), "line_count": 3}
+    order = {"order_id": "O1", "customer_id": "C", "order_ts": -5, "channel": "direct", "device_type": "tablet", "gross_amount": Decimal("20.00"), "total_amount": Decimal("-12.34"), "line_count": 3}
     assert avro.decode(avro.ORDER_PLACED, avro.encode(avro.ORDER_PLACED, order)) == order
+    letter = {"failed_at": 1, "consumer_group": "g", "source_topic": "t", "source_partition": 2, "source_offset": 1 << 40, "error_type": "truncated", "error_detail": "", "key": None, "payload": b"\x00\xff"}
+    assert avro.decode(avro.DEAD_LETTER, avro.encode(avro.DEAD_LETTER, letter)) == letter
+    spaced = avro.canonical(avro.WEB_EVENT | {"namespace": "a.b"})
+    assert spaced["name"] == "a.b.WebEvent" and spaced["fields"][4]["type"]["name"] == "a.b.EventType" and "namespace" not in spaced
+    assert avro.fingerprint(avro.WEB_EVENT | {"namespace": "a.b"}) != avro.fingerprint(avro.WEB_EVENT)
     assert avro.fingerprint({"type": "int"}) == 0x7275D51A3F395C8F  # the specification's example
 
 

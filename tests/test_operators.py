@@ -149,7 +149,8 @@ def test_quality_arithmetic(spark):
     got = quality.run(spark, checks)
     assert [r["status"] for r in got.orderBy("check").collect()] == ["FAIL", "PASS"]
     assert quality.exit_code(got) == 0 and quality.exit_code(got, fail_on_warn=True) == 2
-    assert quality.transform_status("warn") == ("FAIL", "WARN") and quality.transform_status("??") == ("FAIL", "BLOCK")
+    means = {"success": ("PASS", "BLOCK"), "pass": ("PASS", "BLOCK"), "warn": ("FAIL", "WARN"), "fail": ("FAIL", "BLOCK"), "error": ("FAIL", "BLOCK"), "skipped": ("FAIL", "BLOCK"), "runtime error": ("FAIL", "BLOCK"), "??": ("FAIL", "BLOCK")}
+    assert {s: quality.transform_status(s) for s in means} == means
 
 
 @pytest.mark.parametrize(("totals", "ok"), [([100.0] * 99 + [5000.0], True), ([100.0] * 100, False)])

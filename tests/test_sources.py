@@ -74,6 +74,7 @@ def test_bronze_and_rebuild(spark, tmp_path):
     with pytest.raises(TypeError):
         writers.load_reconciled(spark.range(3), f"{tmp_path}/t", "id int")
     assert not writers.quarantine(spark.range(0), f"{tmp_path}/q") and writers.quarantine(spark.range(1), f"{tmp_path}/q")
+    assert not writers.quarantine(spark.range(0), f"{tmp_path}/q") and spark.read.schema("id long").parquet(f"{tmp_path}/q").count() == 0
 
 
 def test_run_log(spark, tmp_path):

@@ -1,7 +1,7 @@
 """Masking of personal data: known terms and patterns, with counts and a leak check.
 
 Passes run in the order e-mail, phone, name; within a pass known terms come
-first, longest first, then the pattern.
+first, the longest that fits, then the pattern.
 """
 
 from __future__ import annotations
@@ -18,10 +18,42 @@ LABELS = {"email": "[EMAIL]", "phone": "[PHONE]", "name": "[CUSTOMER_NAME]"}
 PATTERNS = {"email": r"[\w\.\-\+]+@[\w\-]+\.\w{2,}", "phone": r"\+?\d{1,3}[-\s]?\(?\d{2,4}\)?[-\s]?\d{3,4}[-\s]?\d{3,4}"}
 
 
-def term_pattern(terms: list[str]) -> str | None:
-    """One alternation of all terms, longest first, not inside longer words; no terms: None."""
-    parts = sorted({t for t in terms if t.strip()}, key=lambda t: (-len(t), t))
-    return rf"(?<![\w])(?:{'|'.join(map(re.escape, parts))})(?![\w])" if parts else None
+def in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+class Terms:
+    """Known terms as a tree of characters, so that a text is read once however many terms there are."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.root: dict = {}
+        for term in terms:
+            if term.strip():
+                node = self.root
+                for c in term.lower():
+                    node = node.setdefault(c, {})
+                node[""] = True
+
+    def replaced(self, text: str, label: str) -> tuple[str, int]:
+        """``text`` with the longest term at each place that isn't inside a word replaced, whatever its case; how many were."""
+        low = [c.lower() for c in text]
+        out, done, i, n = [], 0, 0, 0
+        while i < len(text):
+            node, end = self.root.get(low[i]), -1
+            if node is not None and (i == 0 or not in_word(text[i - 1])):
+                j = i + 1
+                while node is not None:
+                    if "" in node and (j == len(text) or not in_word(text[j])):
+                        end = j
+                    node = node.get(low[j]) if j < len(text) else None
+                    j += 1
+            if end < 0:
+                i += 1
+                continue
+            out += [text[done:i], label]
+            done = i = end
+            n += 1
+        return "".join([*out, text[done:]]), n
 
 
 def mask_patterns(text: Column) -> Column:
@@ -35,20 +67,19 @@ class Masker:
     """A policy of known terms by kind (email, phone, name), compiled once for each Python process."""
 
     def __init__(self, terms: dict[str, list[str]]) -> None:
-        self.passes = []
-        for kind in ("email", "phone", "name"):
-            for pattern in (term_pattern(terms.get(kind, [])), PATTERNS.get(kind)):
-                if pattern:
-                    self.passes.append((kind, re.compile(pattern, re.IGNORECASE)))
+        self.known = {kind: Terms(terms.get(kind, [])) for kind in LABELS}
+        self.shapes = {kind: re.compile(shape, re.IGNORECASE) for kind, shape in PATTERNS.items()}
         self.terms = sorted({t.casefold() for ts in terms.values() for t in ts if t.strip()})
 
     def mask(self, text: str | None) -> tuple[str | None, dict[str, int]]:
+        """The masked text and how often each kind was masked."""
         counts = dict.fromkeys(LABELS, 0)
-        if text is None:
-            return None, counts
-        for kind, pattern in self.passes:
-            text, n = pattern.subn(LABELS[kind], text)
-            counts[kind] += n
+        for kind, label in LABELS.items() if text else ():
+            text, counts[kind] = self.known[kind].replaced(text, label)
+            if kind in self.shapes:
+                parts = self.shapes[kind].split(text)  # the shapes hold no groups
+                counts[kind] += len(parts) - 1
+                text = label.join(parts)
         return text, counts
 
     def leaks(self, text: str | None) -> list[str]:

@@ -96,7 +96,7 @@ def latest_results(history: DataFrame, key: str, at: str) -> DataFrame:
 
 
 # How outcomes of transform tests count here.
-STATUS = {"pass": ("PASS", BLOCK), "success": ("PASS", BLOCK), "fail": ("FAIL", BLOCK), "error": ("FAIL", BLOCK), "warn": ("FAIL", WARN), "skipped": ("PASS", WARN)}
+STATUS = {"pass": ("PASS", BLOCK), "success": ("PASS", BLOCK), "fail": ("FAIL", BLOCK), "error": ("FAIL", BLOCK), "warn": ("FAIL", WARN), "skipped": ("FAIL", BLOCK), "runtime error": ("FAIL", BLOCK)}
 
 
 def transform_status(status: str) -> tuple[str, str]:

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import money
 
+# Vocabularies of the data model.
+CHANNELS = ["organic", "paid_search", "email", "social", "direct", "affiliate"]
+DEVICES = ["desktop", "mobile", "tablet"]
+PRIORITIES = ["low", "normal", "high", "urgent"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -71,15 +76,19 @@ class Lake:
 
     @cached_property
     def events(self) -> DataFrame:
+        """Events; channel and device are the user's."""
         e = self.raw("events")
-        return e.select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "user_id", "event_type", "value", "props")
+        of_user = {c: F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % len(names) + 1).cast("int")) for c, names in (("channel", CHANNELS), ("device_type", DEVICES))}
+        return e.select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "user_id", "event_type", "value", "props", *[v.alias(c) for c, v in of_user.items()])
 
     @cached_property
     def tickets(self) -> DataFrame:
-        """Documents: created on day id mod 28, resolved after n_chars minutes unless divisible by 5."""
+        """Documents: created on day id mod 28, resolved after n_chars minutes unless divisible by 5; of the others the even ones are open."""
         d = self.raw("documents")
+        priority = F.element_at(F.array(*map(F.lit, PRIORITIES)), (F.col("doc_id") % len(PRIORITIES) + 1).cast("int"))
+        status = F.when(F.col("doc_id") % 5 != 0, "resolved").when(F.col("doc_id") % 2 == 0, "open").otherwise("pending")
         start = F.timestamp_add("DAY", (F.col("doc_id") % 28).cast("int"), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
-        return d.select(F.col("doc_id").alias("ticket_id"), "text", F.col("lang").alias("intent"), F.col("source").alias("contact_channel"), start.alias("created_ts"), F.when(F.col("doc_id") % 5 != 0, F.timestamp_add("MINUTE", F.col("n_chars").cast("int"), start)).alias("resolved_ts"), (F.col("doc_id") % 150).alias("customer_id"))
+        return d.select(F.col("doc_id").alias("ticket_id"), "text", F.col("lang").alias("intent"), F.col("source").alias("contact_channel"), start.alias("created_ts"), F.when(F.col("doc_id") % 5 != 0, F.timestamp_add("MINUTE", F.col("n_chars").cast("int"), start)).alias("resolved_ts"), (F.col("doc_id") % 150).alias("customer_id"), priority.alias("priority"), status.alias("status"))
 
     @cached_property
     def enrichment(self) -> DataFrame:
@@ -94,8 +103,8 @@ VIEWS = {
     "p": "SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS category, p_type AS subcategory, p_retailprice::DECIMAL(18,2) AS unit_price, round(p_retailprice::DECIMAL(18,2) * 0.6, 2)::DECIMAL(18,2) AS unit_cost FROM part WHERE p_partkey % 50 <> 0",
     "log": "SELECT customer_id, order_ts AS changed_at, 'loyalty_tier' AS field, old_value, channel AS new_value, order_id AS seq FROM (SELECT *, lag(channel) OVER (PARTITION BY customer_id ORDER BY order_ts, order_id) AS old_value FROM o) WHERE old_value <> channel UNION ALL SELECT customer_id, max(order_ts) + INTERVAL 30 DAY, 'is_deleted', 'false', 'true', 0 FROM o WHERE customer_id % 97 = 0 GROUP BY customer_id",
     "c": "SELECT c_custkey AS customer_id, c_name AS name, c_nationkey AS nation_id, c_mktsegment AS segment, loyalty_tier, signup_date, (c_custkey % 97 = 0)::VARCHAR AS is_deleted FROM customer JOIN (SELECT customer_id, arg_max(channel, (order_ts, order_id)) AS loyalty_tier, min(order_ts)::DATE AS signup_date FROM o GROUP BY customer_id) ON customer_id = c_custkey",
-    "e": "SELECT event_id, ts::TIMESTAMP AS event_ts, user_id, event_type, value, props FROM events",
-    "t": "SELECT doc_id AS ticket_id, text, lang AS intent, source AS contact_channel, TIMESTAMP '2024-01-01' + to_days((doc_id % 28)::INTEGER) AS created_ts, CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((doc_id % 28)::INTEGER) + to_minutes(n_chars) END AS resolved_ts, doc_id % 150 AS customer_id FROM documents",
+    "e": f"SELECT event_id, ts::TIMESTAMP AS event_ts, user_id, event_type, value, props, {CHANNELS}[user_id % 6 + 1] AS channel, {DEVICES}[user_id % 3 + 1] AS device_type FROM events",
+    "t": f"SELECT {PRIORITIES}[doc_id % 4 + 1] AS priority, CASE WHEN doc_id % 5 <> 0 THEN 'resolved' WHEN doc_id % 2 = 0 THEN 'open' ELSE 'pending' END AS status, doc_id AS ticket_id, text, lang AS intent, source AS contact_channel, TIMESTAMP '2024-01-01' + to_days((doc_id % 28)::INTEGER) AS created_ts, CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((doc_id % 28)::INTEGER) + to_minutes(n_chars) END AS resolved_ts, doc_id % 150 AS customer_id FROM documents",
     "en": "SELECT doc_id AS ticket_id, quality::BIGINT AS ai_label, toxic::BIGINT AS truth FROM labels",
     # The history as a snapshot at every instant of the whole log would record it: customers x instants, then changes.
     "inst": "SELECT DISTINCT changed_at AS moment FROM log UNION SELECT TIMESTAMP '2002-01-01'",

@@ -196,7 +196,9 @@ def mart_daily_sales(k: Lake) -> DataFrame:
 
 RFM = """WITH b AS (SELECT customer_id, max(order_ts)::DATE AS last_order, count(*) AS frequency, sum(amount)::DOUBLE AS monetary FROM o WHERE recognised GROUP BY 1),
     q AS (SELECT *, ntile(5) OVER (ORDER BY last_order, customer_id) AS r, ntile(5) OVER (ORDER BY frequency, customer_id) AS f, ntile(5) OVER (ORDER BY monetary, customer_id) AS m FROM b)"""
-SEGMENT = "CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champion' WHEN r >= 3 AND f >= 4 THEN 'loyal' WHEN r >= 4 AND f <= 2 THEN 'new' WHEN r >= 3 AND m >= 4 THEN 'big_spender' WHEN r <= 2 AND f >= 4 THEN 'at_risk' WHEN r = 1 AND f = 1 THEN 'lost' WHEN r <= 2 THEN 'hibernating' ELSE 'regular' END"
+# The segments, the first that fits.
+SEGMENT = """CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champion' WHEN r >= 4 AND f >= 3 THEN 'loyal' WHEN r >= 4 THEN 'promising'
+    WHEN r = 3 AND f >= 3 THEN 'needs_attention' WHEN r <= 2 AND f >= 4 THEN 'at_risk' WHEN r <= 2 AND m >= 4 THEN 'cant_lose' WHEN r <= 2 THEN 'hibernating' ELSE 'other' END"""
 
 
 def ntiles(df: DataFrame, n: int, **by: str) -> DataFrame:
@@ -218,12 +220,16 @@ def rfm_base(k: Lake) -> DataFrame:
     return ntiles(g, 5, r="last_order", f="frequency", m="monetary")
 
 
-@query("o", f"{RFM} SELECT customer_id, last_order, frequency, monetary, r, f, m, {SEGMENT} AS rfm_segment FROM q")
+@query(
+    "o dim",
+    f"""{RFM} SELECT customer_key, q.customer_id, loyalty_tier, segment, is_tombstone AS is_deleted, last_order, frequency, monetary, r, f, m, r + f + m AS rfm_score,
+    {SEGMENT} AS rfm_segment, round(monetary / frequency, 2) AS nadd_avg_order_value FROM q JOIN dim ON dim.customer_id = q.customer_id AND is_current""",
+)
 def mart_customer_rfm(k: Lake) -> DataFrame:
-    """Recent customers score 5, as the segment rules need."""
-    r, f, m = map(F.col, "rfm")
-    seg = F.when((r >= 4) & (f >= 4) & (m >= 4), "champion").when((r >= 3) & (f >= 4), "loyal").when((r >= 4) & (f <= 2), "new").when((r >= 3) & (m >= 4), "big_spender").when((r <= 2) & (f >= 4), "at_risk").when((r == 1) & (f == 1), "lost").when(r <= 2, "hibernating").otherwise("regular")
-    return rfm_base(k).withColumn("rfm_segment", seg)
+    """Scores with the current version of the customer, of those deleted too. Recent customers score 5, as the segment rules need."""
+    now = dim_customer_frame(k).where("is_current").select("customer_key", "customer_id", "loyalty_tier", "segment", F.col("is_tombstone").alias("is_deleted"))
+    scored = rfm_base(k).withColumns({"rfm_score": F.col("r") + F.col("f") + F.col("m"), "rfm_segment": F.expr(SEGMENT), "nadd_avg_order_value": F.round(F.col("monetary") / F.col("frequency"), 2)})
+    return scored.join(now, "customer_id")
 
 
 @query("o", f"{RFM} SELECT customer_id, r, f, m FROM q")
@@ -263,17 +269,50 @@ def mart_payment_health(k: Lake) -> DataFrame:
     return a.join(r, ["date", "payment_method"], "left").withColumn("reasons", F.coalesce("reasons", F.lit("{}"))).withColumn("nadd_capture_pct", S.percent(F.col("captured"), F.col("attempts")))
 
 
-@query("ses", f"WITH f AS ({FUNNEL_SQL}) SELECT started::DATE AS date, entry_type, count(*) AS sessions, count(*) FILTER (viewed) AS viewed, count(*) FILTER (clicked) AS clicked, count(*) FILTER (bought) AS bought, round(100.0::DOUBLE * count(*) FILTER (bought) / count(*), 2) AS nadd_conversion_pct FROM f GROUP BY 1, 2")
+@query(
+    "ses",
+    """WITH f AS (SELECT session_id, min(event_ts)::DATE AS date, arg_min(channel, (event_ts, event_id)) AS channel, arg_min(device_type, (event_ts, event_id)) AS device_type, count(*) AS n,
+    bool_or(event_type = 'view') AS viewed, bool_or(event_type = 'click') AS clicked, bool_or(event_type = 'purchase') AS bought FROM ses GROUP BY session_id)
+    SELECT date, channel, device_type, count(*) AS sessions, sum(n)::BIGINT AS events, count(*) FILTER (viewed) AS viewed, count(*) FILTER (clicked) AS clicked, count(*) FILTER (bought) AS bought,
+    round(100.0::DOUBLE * count(*) FILTER (bought) / count(*), 2) AS nadd_conversion_pct FROM f GROUP BY 1, 2, 3""",
+)
 def mart_web_funnel(k: Lake) -> DataFrame:
-    g = int_session_funnel(k).groupBy(F.to_date("started").alias("date"), "entry_type").agg(F.count("*").alias("sessions"), *[F.count_if(c).alias(c) for c in ("viewed", "clicked", "bought")])
+    """Day by the channel and device that a session began with."""
+    first, t = F.struct("event_ts", "event_id"), F.col("event_type")
+    steps = {"viewed": "view", "clicked": "click", "bought": "purchase"}
+    f = sessions(k).groupBy("session_id").agg(
+        F.to_date(F.min("event_ts")).alias("date"),
+        *[F.min_by(c, first).alias(c) for c in ("channel", "device_type")],
+        F.count("*").alias("n"),
+        *[F.bool_or(t == v).alias(c) for c, v in steps.items()],
+    )
+    g = f.groupBy("date", "channel", "device_type").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), *[F.count_if(c).alias(c) for c in steps])
     return g.withColumn("nadd_conversion_pct", S.percent(F.col("bought"), F.col("sessions")))
 
 
-@query("t en", "SELECT created_ts::DATE AS date, intent, contact_channel, count(*) AS tickets, count(resolved_ts) AS resolved, round(quantile_cont(epoch(resolved_ts - created_ts) / 3600.0, 0.5), 4) AS nadd_median_hours, count(ai_label) AS labelled, count(*) FILTER (ai_label = truth) AS agreed, CASE WHEN count(ai_label) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (ai_label = truth) / count(ai_label), 2) END AS nadd_ai_accuracy_pct FROM t LEFT JOIN en USING (ticket_id) GROUP BY 1, 2, 3")
+@query(
+    "t en",
+    """SELECT created_ts::DATE AS date, intent, priority, contact_channel, count(*) AS tickets, count(resolved_ts) AS resolved, count(*) FILTER (status = 'open') AS open_tickets,
+    count(*) FILTER (status = 'pending') AS pending_tickets, count(DISTINCT customer_id) AS customers,
+    round(quantile_cont(epoch(resolved_ts - created_ts) / 3600.0, 0.5), 4) AS nadd_median_hours, round(100.0::DOUBLE * count(resolved_ts) / count(*), 2) AS nadd_resolution_rate_pct,
+    count(ai_label) AS labelled, count(*) FILTER (ai_label = truth) AS agreed, round(100.0::DOUBLE * count(ai_label) / count(*), 2) AS nadd_ai_coverage_pct,
+    CASE WHEN count(ai_label) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (ai_label = truth) / count(ai_label), 2) END AS nadd_ai_accuracy_pct
+    FROM t LEFT JOIN en USING (ticket_id) GROUP BY 1, 2, 3, 4""",
+)
 def mart_support_health(k: Lake) -> DataFrame:
+    """Day by intent, priority and contact channel; accuracy is over the labelled, so that no labels mean no figure."""
     t = k.tickets.join(k.enrichment, "ticket_id", "left").withColumn("h", S.hours_between(F.col("created_ts"), F.col("resolved_ts")))
-    g = t.groupBy(F.to_date("created_ts").alias("date"), "intent", "contact_channel").agg(F.count("*").alias("tickets"), F.count("resolved_ts").alias("resolved"), F.round(F.median("h"), 4).alias("nadd_median_hours"), F.count("ai_label").alias("labelled"), F.count_if(F.col("ai_label") == F.col("truth")).alias("agreed"))
-    return g.withColumn("nadd_ai_accuracy_pct", S.percent(F.col("agreed"), F.col("labelled")))
+    g = t.groupBy(F.to_date("created_ts").alias("date"), "intent", "priority", "contact_channel").agg(
+        F.count("*").alias("tickets"),
+        F.count("resolved_ts").alias("resolved"),
+        *[F.count_if(F.col("status") == x).alias(f"{x}_tickets") for x in ("open", "pending")],
+        F.count_distinct("customer_id").alias("customers"),
+        F.round(F.median("h"), 4).alias("nadd_median_hours"),
+        F.count("ai_label").alias("labelled"),
+        F.count_if(F.col("ai_label") == F.col("truth")).alias("agreed"),
+    )
+    shares = {"nadd_resolution_rate_pct": ("resolved", "tickets"), "nadd_ai_coverage_pct": ("labelled", "tickets"), "nadd_ai_accuracy_pct": ("agreed", "labelled")}
+    return g.withColumns({name: S.percent(F.col(a), F.col(b)) for name, (a, b) in shares.items()})
 
 
 # -- data quality -----------------------------------------------------------------

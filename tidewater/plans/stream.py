@@ -124,10 +124,17 @@ def metric_rfm_grid(k: Lake) -> DataFrame:
     return marts.rfm_base(k).groupBy("r", "f").agg(F.count("*").alias("customers"), F.sum(F.col("monetary").cast("decimal(18,2)")).cast("double").alias("monetary"))
 
 
-@query("o", "WITH f AS (SELECT customer_id, date_trunc('month', min(order_ts))::DATE AS cohort FROM o WHERE recognised GROUP BY 1), x AS (SELECT cohort, datediff('month', cohort, date_trunc('month', order_ts)::DATE) AS m, count(DISTINCT customer_id) AS n FROM o JOIN f USING (customer_id) WHERE recognised GROUP BY 1, 2) SELECT cohort, max(n) FILTER (m = 0) AS m0, max(n) FILTER (m = 1) AS m1, max(n) FILTER (m = 2) AS m2, max(n) FILTER (m = 3) AS m3 FROM x GROUP BY 1")
+@query(
+    "o",
+    """WITH f AS (SELECT customer_id, date_trunc('month', min(order_ts))::DATE AS cohort FROM o WHERE recognised GROUP BY 1), s AS (SELECT cohort, count(*) AS size FROM f GROUP BY 1),
+    x AS (SELECT cohort, datediff('month', cohort, date_trunc('month', order_ts)::DATE) AS m, count(DISTINCT customer_id) AS n FROM o JOIN f USING (customer_id) WHERE recognised GROUP BY 1, 2)
+    SELECT cohort, string_agg(m || ':' || round(100.0::DOUBLE * n / size, 2)::DECIMAL(5, 2), ' ' ORDER BY m) AS retention FROM x JOIN s USING (cohort) GROUP BY cohort""",
+)
 def metric_cohort_heatmap(k: Lake) -> DataFrame:
-    wide = marts.mart_cohort_retention(k).groupBy("cohort").pivot("months_since", [0, 1, 2, 3]).agg(F.first("active"))
-    return wide.select("cohort", *[F.col(str(i)).alias(f"m{i}") for i in range(4)])
+    """A row of the heat map for each cohort: the percentage retained in every month that there is, as month:percentage."""
+    cell = F.struct("months_since", F.concat_ws(":", F.col("months_since").cast("string"), F.col("nadd_retention_pct").cast("decimal(5,2)").cast("string")).alias("cell"))
+    rows = marts.mart_cohort_retention(k).groupBy("cohort").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("cohort", F.array_join("cells.cell", " ").alias("retention"))
 
 
 @query("pay", "SELECT payment_method, failure_reason, count(*) AS n FROM pay WHERE is_failed GROUP BY 1, 2")

@@ -52,11 +52,9 @@ def rebuild(df: DataFrame, path: str) -> None:
 
 
 def quarantine(df: DataFrame, path: str) -> bool:
-    """Write rejected rows, if there are any; tells whether there were."""
-    if not df.limit(1).count():
-        return False
+    """Write this build's rejected rows in place of the last build's, none as well; tells whether there were any."""
     rebuild(df, path)
-    return True
+    return not df.sparkSession.read.schema(df.schema).parquet(path).isEmpty()
 
 
 def load_reconciled(df: DataFrame, path: str, expected_schema: str) -> int:

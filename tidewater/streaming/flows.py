@@ -54,6 +54,7 @@ def tumbling(rows: DataFrame, width: str = WINDOW, lateness: str | None = None)
 def decoded(messages: DataFrame, schema: dict, columns: str, payload: str = "value") -> DataFrame:
     """Messages with ``record`` (a struct of ``columns``), ``error_type`` and ``error_detail``; a message is either one or the other."""
     names = [c.split()[0] for c in columns.split(", ")]
+    expected = avro.fingerprint(schema)
 
     @F.pandas_udf(f"record struct<{', '.join(f'{a}: {b}' for a, b in (c.split() for c in columns.split(', ')))}>, error_type string, error_detail string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -61,7 +62,7 @@ def decoded(messages: DataFrame, schema: dict, columns: str, payload: str = "val
             rows = []
             for p in payloads:
                 try:
-                    got = avro.decode(schema, None if p is None else bytes(p))
+                    got = avro.decode(schema, None if p is None else bytes(p), expected)
                     rows.append(({n: got[n] for n in names}, None, None))
                 except avro.DecodeError as e:
                     rows.append((dict.fromkeys(names), e.kind, str(e)))
