@@ -131,5 +131,5 @@ def test_watermarked_counts_close(spark, tmp_path):
     for i, n in enumerate((0, 600)):
         spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n), "events", "_total")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     s = flows.tumbling(flows.from_files(spark, f"{tmp_path}/in", schema, 1), "60 seconds", "10 seconds")
-    got = flows.run_to_memory(s, "closed", "append", f"{tmp_path}/cp")
+    got = flows.run_to_table(s, "append", f"{tmp_path}/cp")
     assert got.count() <= 1

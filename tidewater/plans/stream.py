@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,12 +40,12 @@ def metric_stream(k: Lake) -> DataFrame:
 @query("e", "SELECT time_bucket(INTERVAL 60 SECOND, event_ts) AS window_start, time_bucket(INTERVAL 60 SECOND, event_ts) + INTERVAL 60 SECOND AS window_end, 'events' AS metric, '_total' AS dimension, count(*) AS value FROM e GROUP BY 1, 2")
 def stream_tumbling_counts(k: Lake) -> DataFrame:
     rows = events_stream(k).select("ts", F.lit("events").alias("metric"), F.lit("_total").alias("dimension"))
-    return flows.run_to_memory(flows.tumbling(rows), f"t{uuid.uuid4().hex}", "complete", scratch(k))
+    return flows.run_to_table(flows.tumbling(rows), "complete", scratch(k))
 
 
 @query("e", "WITH m AS (SELECT event_ts, unnest([{'m': 'events', 'd': '_total'}, {'m': 'events_by_type', 'd': event_type}, {'m': 'events_by_group', 'd': CASE WHEN user_id % 3 > 0 THEN (user_id % 3)::VARCHAR END}, CASE WHEN user_id % 2 = 0 THEN {'m': 'identified_events', 'd': '_total'} END]) AS x FROM e) SELECT time_bucket(INTERVAL 1 DAY, event_ts) AS window_start, x.m AS metric, x.d AS dimension, count(*) AS value FROM m WHERE x.m IS NOT NULL AND coalesce(x.d, '') <> '' GROUP BY ALL")
 def stream_metrics_long(k: Lake) -> DataFrame:
-    got = flows.run_to_memory(flows.tumbling(metric_stream(k), "1 day"), f"m{uuid.uuid4().hex}", "update", scratch(k))
+    got = flows.run_to_table(flows.tumbling(metric_stream(k), "1 day"), "update", scratch(k))
     # every update of a window is a row; the last one holds
     return got.groupBy("window_start", "metric", "dimension").agg(F.max("value").alias("value"))
 
@@ -67,7 +66,7 @@ def messages(k: Lake) -> DataFrame:
     def encode(event_id: pd.Series, user: pd.Series, kind: pd.Series) -> pd.Series:
         out = []
         for i, u, t in zip(event_id, user, kind):
-            row = {"event_id": f"E{i:08d}", "session_id": f"S{u}", "customer_id": f"C{u}" if u % 2 else None, "event_ts": 1_700_000_000_000 + i, "event_type": "purchase" if t == "purchase" else "page_view"}
+            row = {"event_id": f"E{i:08d}", "session_id": f"S{u}", "customer_id": f"C{u}" if u % 2 else None, "event_ts": 1_700_000_000_000 + i, "event_type": "purchase" if t == "purchase" else "page_view", "product_id": None, "order_id": None, "channel": avro.CHANNELS[u % 6], "device_type": avro.DEVICES[u % 3]}
             m = avro.encode(avro.WEB_EVENT, row)
             out.append({0: b"{}", 1: m[:-3], 2: m[:2] + bytes(8) + m[10:]}.get(i % 20, m))
         return pd.Series(out)
@@ -92,7 +91,7 @@ def stream_session_windows(k: Lake) -> DataFrame:
     """Gap sessions of thirty minutes (and a microsecond: at exactly thirty minutes a session goes on)."""
     s = events_stream(k).groupBy("user_id", F.session_window("ts", "30 minutes 1 microsecond").alias("w")).agg(F.count("*").alias("n"))
     got = s.select("user_id", F.col("w.start").alias("session_start"), "n")
-    return flows.run_to_memory(got, f"s{uuid.uuid4().hex}", "complete", scratch(k))
+    return flows.run_to_table(got, "complete", scratch(k))
 
 
 @query("", "SELECT 'events' AS source, count(*) AS latest, count(*) AS consumed, 0::BIGINT AS lag FROM events")

@@ -104,10 +104,19 @@ def finish(query: StreamingQuery, seconds: int = 300) -> None:
         raise query.exception()
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All of a finite stream through a query of its own, as a frame. For results that a driver can hold: windows, reports."""
-    finish(df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, mode: str, path: str) -> DataFrame:
+    """All of a finite stream of any output mode as Parquet, a folder an epoch: of ``complete`` the last, else all of them. Nothing gathers on the driver."""
+    seen, write = [], epoch_writer(f"{path}/out")
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        seen.append(epoch)
+
+    finish(df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    if not seen:
+        return df.sparkSession.createDataFrame([], df.schema)
+    epochs = [max(seen)] if mode == "complete" else sorted(set(seen))
+    return df.sparkSession.read.schema(df.schema).parquet(*[f"{path}/out/epoch={e}" for e in epochs])
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
