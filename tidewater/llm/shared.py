@@ -20,6 +20,8 @@ BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 #: Copies that the narrow side of a salted join gets.
 SALTS = 8
+#: Ids (16 bytes or so each) that are broadcast at most.
+FEW = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table of the shared folder."""
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing will read them any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``df`` semi- or anti-joined (``how``) with a written table of distinct ids: broadcast if counted to be ``FEW`` at most, else by a shuffle of both."""
+    ids = ids.toDF(id_col)
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, id_col, how)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -88,13 +106,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     seen = None
     while (now := _checksum(edges)) != seen and now[0]:
-        seen = now
+        seen, before = now, edges
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
         large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = star(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u"), F.col("m")))
         edges = cut(small.where("a > b").distinct(), "edges")
+        forget(before)
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

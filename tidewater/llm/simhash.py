@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import components, cut, fields, salted_join, small_batches
+from tidewater.llm.shared import components, cut, fields, forget, salted_join, small_batches, with_ids
 
 SLICE = 1000
 TILE = 128
@@ -286,25 +286,30 @@ def shingle_sets(src: DataFrame, k: int, hot: np.ndarray | None = None, with_set
     return src.select("id", "text").mapInArrow(run, schema)
 
 
-def common_keys(nodes: DataFrame) -> np.ndarray:
-    """Prefix shingles of more than ``COMMON`` nodes, as far as they occur twice in a task: an order for speed, on which no result depends."""
+def common_keys(src: DataFrame, k: int) -> np.ndarray:
+    """Prefix shingles of more than ``COMMON`` sets, as far as they occur twice in a task: an order for speed, on which no result depends."""
+    small_batches(src.sparkSession)
+    none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [np.zeros(0, np.int64)], 0
+        held, size, seen = [none], 0, set()
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
 
         for b in batches:
-            held.append(b.column(0).flatten().to_numpy())
-            size += len(held[-1])
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                if (digest := xxhash.xxh64_intdigest(t or b"")) not in seen:
+                    seen.add(digest)
+                    held.append(prefix(np.unique(shingle_hashes(t, k)), none))
+                    size += len(held[-1])
             if size > 4_000_000:
                 yield out()
-                held, size = [np.zeros(0, np.int64)], 0
+                held, size, seen = [none], 0, set()
         yield out()
 
-    counts = nodes.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
+    counts = src.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
     got = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow()
     return np.sort(got.column("key").to_numpy().view(np.uint64))
 
@@ -312,12 +317,12 @@ def common_keys(nodes: DataFrame) -> np.ndarray:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """``(id, component_id)`` for every row of ``docs``: texts link if the Jaccard similarity of their ``k``-word shingles is 0.8 or more.
 
-    1. Equal sets are one node, which keeps a fingerprint, its prefix and the smallest id.
-    2. Nodes meet under the shingles of their prefixes (``prefix``: no similar
-       pair is missed), where tiles compare fingerprints and sizes. Shingles of
-       many nodes, such as those of a passage that a third of all documents
-       hold, are put last in the order first.
-    3. Within what the tiles connect, tiles again, and each pair that they let
+    1. A first pass tells which shingles many texts have, such as those of a
+       passage that a third of all documents hold; they come last in the order.
+    2. Equal sets are one node, which keeps a fingerprint, its prefix and the smallest id.
+    3. Nodes meet under the shingles of their prefixes (``prefix``: no similar
+       pair is missed), where tiles compare fingerprints and sizes.
+    4. Within what the tiles connect, tiles again, and each pair that they let
        through is checked on the sets themselves, unless checked pairs connect it
        already. Sets travel once for each slice of their group.
 
@@ -325,36 +330,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     names = [f"f{i}" for i in range(WIDE)]
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(shingle_sets(src, k, common_keys(src, k)), "shingle-rows")
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("n", *names, "keys")]), "shingle-nodes")
+    ids = cut(rows.select("id", "node"), "shingle-ids")
+    forget(rows)
 
-    def one_a_node(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("n", *names, "keys")])
-
-    rows = cut(shingle_sets(src, k), "shingle-rows")
-    nodes = cut(one_a_node(rows), "shingle-nodes")
-    hot = common_keys(nodes)
-    if len(hot):
-        listed = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"key": hot.view(np.int64)})))  # HOT_KEYS at most
-        again = cut(nodes.select("node", "low", F.explode("keys").alias("key")).join(listed, "key", "left_semi").select("node", "low").distinct(), "shingle-again")
-        anew = shingle_sets(src.join(again.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k, hot)
-        anew = one_a_node(anew).join(again.select("node"), "node", "left_semi")
-        nodes = cut(nodes.join(again.select("node"), "node", "left_anti").unionByName(anew), "shingle-nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     several = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / KEY_SLICE).cast("int").alias("slices"))
     shared = cut(keyed.join(several, "key"), "shingle-shared")
-    shared = salted_join(shared, nodes.select("node", "n", *names).join(shared.select("node").distinct(), "node", "left_semi"), "node", "inner", 1)
-    near = cut(components(compared(shared, names, WIDE_RADIUS)).withColumnRenamed("root", "key"), "shingle-near")
+    meeting = nodes.select("node", "n", *names).join(shared.select("node").distinct(), "node", "left_semi")
+    near = components(compared(salted_join(shared, meeting, "node", "inner", 1), names, WIDE_RADIUS)).withColumnRenamed("root", "key")
 
     members = cut(near.join(nodes.select("node", "low", "n", *names), "node"), "shingle-members")
+    forget(shared)
     load = members.groupBy("key").agg(F.ceil(F.sum("n") / SET_SLICE).cast("int").alias("slices"))
-    members = salted_join(members, load, "key", "inner")
-    sets = shingle_sets(src.join(members.select(F.col("low").alias("id")).distinct(), "id", "left_semi"), k, with_sets=True)
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    roots = components(compared(members.drop("low").join(sets, "node"), names, WIDE_RADIUS, with_sets=True))
+    lows = cut(members.select(F.col("low").alias("id")).distinct(), "shingle-lows")
+    sets = shingle_sets(with_ids(src, lows, "id", "left_semi"), k, with_sets=True).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    checked = compared(salted_join(members, load, "key", "inner").drop("low").join(sets, "node"), names, WIDE_RADIUS, with_sets=True)
+    of_node = nodes.select("node", "low").join(components(checked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_node = cut(of_node, "shingle-roots")
+    forget(nodes, members, lows)
 
-    of_node = cut(nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
     lowest = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = salted_join(of_node.select("node", "root"), lowest, "root").select("node", "component_id")
-    return salted_join(rows.select("id", "node"), of_node, "node").select("id", "component_id")
+    return salted_join(ids, of_node, "node").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -363,8 +362,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Groups are those of ``similar_groups``: fingerprints alone decide nothing here.
     Rows with a null id are kept: nothing tells them apart.
     """
-    groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k)
-    stay = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(stay, id_col, "left_semi")
-    kept = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    groups = cut(similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k), "groups")
+    by_id = groups.groupBy("id").agg(F.count("*").alias("times"), F.max(F.col("id") == F.col("component_id")).alias("stays"))
+    by_id = cut(by_id.where("times > 1 or not stays"), "groups-of-ids")
+    kept = with_ids(docs, by_id.where("not stays").select("id"), id_col, "left_anti")
+    again = by_id.where("stays").select("id")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = with_ids(kept, again, id_col, "left_anti").select(*docs.columns)
+    twice = with_ids(kept, again, id_col, "left_semi").groupBy(F.col(id_col).alias("_id"))
+    return once.unionByName(twice.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*"))
