@@ -30,7 +30,7 @@ SAMPLE_ROWS = 4000
 BUCKETS = 1 << 18
 DIM = 16
 WINDOW = 8
-MEMO = 400_000
+MEMO = 200_000
 GRAMS = (3, 5)
 THRESHOLD = 0.3
 
@@ -113,6 +113,14 @@ def window_means(x: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return (total[size:] - total[:-size]) / size
 
 
+def summed(at: np.ndarray, values: np.ndarray, of: np.ndarray, n: int, step: int = 500_000) -> np.ndarray:
+    """``values[of]`` added up by ``at``, in parts: the indices are by far the longest arrays of training."""
+    out = np.zeros(n)
+    for i in range(0, len(at), step):
+        out += np.bincount(at[i : i + step], values[of[i : i + step]], n)
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float = 0.3, seed: int = 7) -> Model:
     """Full-batch descent on cross-entropy, each step scaled to move the most pulled weight by ``rate``, falling to zero.
 
@@ -125,28 +133,33 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
         return Model(np.zeros(BUCKETS), 6.0 * (2 * y.mean() - 1) if len(y) else -6.0)
     place: dict[str, int] = {}
     docs = [np.array([place.setdefault(w, len(place)) for w in map(normal, words_of(t))], np.int32) for t in texts]
+    lengths = np.array([len(d) for d in docs])
+    row = np.concatenate(docs)
     names = list(place)
-    parts = [(i, subwords(names[i : i + 20_000])) for i in range(0, len(names), 20_000)]
-    ids = np.concatenate([x.astype(np.int32) for _, (x, _) in parts])
-    word = np.concatenate([(y + i).astype(np.int32) for i, (_, y) in parts])
-    del names, parts
-    sizes = np.bincount(word, minlength=len(place))
+    del docs, place
+    ids, word = [], []
+    for i in range(0, len(names), 20_000):
+        buckets, owners = subwords(names[i : i + 20_000])
+        ids.append(buckets.astype(np.int32))
+        word.append((owners + i).astype(np.int32))
+    n_words = len(names)
+    del names
+    ids, word = np.concatenate(ids), np.concatenate(word)
+    sizes = np.bincount(word, minlength=n_words)
     # Half-overlapping windows of all documents, as ranges of one long row of words.
-    row = np.concatenate(docs)
-    first, last, owner = [], [], []
-    at = 0
-    for d, words in enumerate(docs):
-        for s in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-            first.append(at + s)
-            last.append(at + min(s + WINDOW, len(words)))
-            owner.append(d)
-        at += len(words)
-    first, last, owner = map(np.array, (first, last, owner))
-    doc_start = np.searchsorted(owner, np.arange(len(docs)))
+    half = WINDOW // 2
+    windows = -(-np.maximum(lengths - half, 1) // half)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
+    doc_start = np.cumsum(windows) - windows
+    inside = half * (np.arange(len(owner)) - doc_start[owner])
+    begin = (np.cumsum(lengths) - lengths)[owner]
+    first = (begin + inside).astype(np.int32)
+    last = (begin + np.minimum(inside + WINDOW, lengths[owner])).astype(np.int32)
+    del inside, begin
 
     # A bucket's pull is weighed by the root of how much of the texts it is: a common word's chance surplus is no evidence.
-    part = np.repeat(1 / np.maximum([len(d) for d in docs], 1), [len(d) for d in docs])
-    mass = np.bincount(ids, (np.bincount(row, part, len(place)) / sizes)[word], BUCKETS)
+    part = np.repeat(1 / np.maximum(lengths, 1), lengths)
+    mass = summed(ids, np.bincount(row, part, n_words) / sizes, word, BUCKETS)
     scale = 1 / np.sqrt(mass + 3 * part.mean() / sizes.mean())
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
@@ -154,7 +167,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
     bias = np.log(y.mean() / (1 - y.mean()))
     for epoch in range(epochs):
         diff = weights[:, 1] - weights[:, 0]
-        by_word = np.bincount(word, (table @ diff)[ids], len(place)) / sizes
+        by_word = summed(word, table @ diff, ids, n_words) / sizes
         total = np.concatenate([[0.0], np.cumsum(by_word[row])])
         margin = (total[last] - total[first]) / WINDOW
         # Softmax pooling: the mean of the windows at first, near the maximum at last.
@@ -164,8 +177,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float =
         error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(y)
         pull = share * error[owner] / WINDOW
         change = np.bincount(first, pull, len(row) + 1) - np.bincount(last, pull, len(row) + 1)
-        for_word = np.bincount(row, np.cumsum(change)[:-1], len(place))
-        for_bucket = scale * np.bincount(ids, (for_word / sizes)[word], BUCKETS)
+        for_word = np.bincount(row, np.cumsum(change)[:-1], n_words)
+        for_bucket = scale * summed(ids, for_word / sizes, word, BUCKETS)
         g_diff = (for_bucket / scale) @ table
         step = rate * (1 - epoch / epochs)
         pace = step / (np.abs(for_bucket).max() * np.abs(diff).max() + 1e-30)

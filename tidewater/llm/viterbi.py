@@ -40,7 +40,7 @@ from tidewater.llm.shared import fields, small_batches
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-MEMO = 500_000
+MEMO = 250_000
 #: Longer segments are not kept in the memo.
 MEMO_CHARS = 48
 #: Characters that the search gets at a time, and that ``encode`` marks and splits at a time.
