@@ -1,22 +1,28 @@
-"""Masked pseudo-likelihood: a bidirectional window network scores documents.
-
-Words become classes: the commonest words of the whole corpus each their own,
-the others by a hash. The network reads the classes on both sides of a position
-(an embedding for each side, a hidden layer) and gives a distribution of the
-class between them; a document's score is the sum of the log-probabilities of
-all its words. The log-probability of a word of a hashed class adds that of the
-word inside the class, by the corpus's counts of all words. The network is trained, in numpy, on the counts of all (left, word, right)
-triples of the corpus. Those counts come from every document; there are at most
-``CLASSES`` cubed of them, which bounds what is gathered. As a position's
-prediction depends on its two neighbours' classes only, the trained network is
-evaluated once for each pair of classes and scoring looks it up.
+"""Masked pseudo-likelihood: bidirectional window networks score documents.
+
+A word is a class and, in a class of several words, itself. The commonest words
+of the whole corpus are classes of their own, the others share hashed ones. The
+probability of a word given two words on either side is that of its class given
+their classes, times that of the word in its class; a document's score is the
+sum of the logarithms over all its words, each masked in turn.
+
+Classes are predicted by two networks (an embedding for each side, a hidden
+layer), one reading the neighbours at distance one, one those at distance two.
+Given the word, the two pairs are taken as independent: their log-probabilities
+add up, less those of the class alone, and are normalised over all classes. The
+networks are trained, in numpy, on the counts of all (left, word, right) triples
+of the corpus at their distance; there are at most ``CLASSES`` cubed of them,
+which bounds what the driver gathers, whatever the corpus.
+
+Words in their classes are counted over the whole corpus. Those counts grow with
+it, so they stay a table: scoring joins it with the words that documents hold.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +34,11 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import cut, fields, small_batches
 
 #: Classes: 0 stands beyond both ends of a text, then common words, then hashed ones.
-CLASSES = 96
+CLASSES = 128
 HASHED = 32
+#: Words read on either side; words that are scored at a time.
+WINDOW = 2
+CHUNK = 8192
 COMMON = CLASSES - HASHED - 1
 DIM = 24
 HIDDEN = 48
@@ -52,8 +61,8 @@ class Classes(dict):
         return self.first + crc32(word.encode("utf-8", "surrogatepass")) % HASHED
 
     def of(self, text: str | None) -> np.ndarray:
-        """Classes of a text's words, with the two ends."""
-        return np.array([0, *map(self.__getitem__, words_of(text)), 0], np.int64)
+        """Classes of a text's words, with ``WINDOW`` ends before and after."""
+        return np.array([*[0] * WINDOW, *map(self.__getitem__, words_of(text)), *[0] * WINDOW], np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,58 +89,62 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def triple_counts(docs: DataFrame, common: list[str], text_col: str = "text") -> DataFrame:
-    """``(triple, n)`` over all documents; a triple is (left * CLASSES + right) * CLASSES + word."""
+    """``(distance, triple, n)`` over all documents; a triple is (left * CLASSES + right) * CLASSES + word."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(common)
-        total = np.zeros(CLASSES**3, np.int64)
+        total = np.zeros((WINDOW, CLASSES**3), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 c = classes.of(t)
-                if len(c) > 2:
-                    np.add.at(total, (c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1], 1)
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["triple", "n"])
+                n = len(c) - 2 * WINDOW
+                for d in range(1, WINDOW + 1) if n else ():
+                    left, right = c[WINDOW - d : WINDOW - d + n], c[WINDOW + d : WINDOW + d + n]
+                    np.add.at(total[d - 1], (left * CLASSES + right) * CLASSES + c[WINDOW : WINDOW + n], 1)
+        for d in range(WINDOW):
+            seen = np.flatnonzero(total[d])
+            for at in range(0, len(seen), 100_000):
+                part = seen[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d + 1, np.int32)), pa.array(part), pa.array(total[d][part])], ["distance", "triple", "n"])
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "triple long, n long")
-    return parts.groupBy("triple").agg(F.sum("n").alias("n"))
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "distance int, triple long, n long")
+    return parts.groupBy("distance", "triple").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """``common`` words; ``table[left, right, word]``: log-probabilities.
+    """``common`` words; ``tables[distance - 1][left, right, word]``: log-probabilities of classes; ``prior``: those of classes alone.
 
-    ``hashes`` (sorted) and ``times``: words of hashed classes that occur more
-    than once; any other word counts as one. ``totals``: words in each hashed class.
+    ``words``: a written table ``(h, n)`` of how often each word of a hashed class
+    occurs, by its hash; ``totals``: words in each hashed class.
     """
 
     common: list[str]
-    table: np.ndarray
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    totals: np.ndarray = field(default_factory=lambda: np.ones(HASHED, np.int64))
-
-    def inside(self, words: list[str], classes: np.ndarray) -> float:
-        """Summed log-probability of the words of hashed classes given their class."""
-        first = CLASSES - HASHED
-        at = np.flatnonzero(classes[1:-1] >= first)
-        if not len(at):
-            return 0.0
-        h = np.array([xxhash.xxh64_intdigest(words[i].encode("utf-8", "surrogatepass"), seed=42) for i in at], np.uint64).view(np.int64)
-        n = np.ones(len(h), np.int64)
-        if len(self.hashes):
-            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            n = np.where(self.hashes[i] == h, self.times[i], 1)
-        return float(np.log(n / np.maximum(self.totals[classes[1:-1][at] - first], n)).sum())
+    tables: list[np.ndarray]
+    prior: np.ndarray
+    totals: list[int]
+    words: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}
+
+    def class_scores(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of the class at each of the positions ``at`` of ``c``, given those around it."""
+        out = np.zeros(len(at))
+        for i in range(0, len(at), CHUNK):
+            p = at[i : i + CHUNK]
+            x = -(WINDOW - 1) * self.prior[None, :]
+            for d, table in enumerate(self.tables, 1):
+                x = x + table[c[p - d], c[p + d]]
+            x[:, 0] = -np.inf  # a word is never beyond an end
+            top = x.max(1)
+            out[i : i + CHUNK] = x[np.arange(len(p)), c[p]] - top - np.log(np.exp(x - top[:, None]).sum(1))
+        return out
 
     def score(self, classes: np.ndarray) -> float:
-        """Summed log-probability of each word given both neighbours; no words: 0."""
-        if len(classes) <= 2:
-            return 0.0
-        return float(self.table[classes[:-2], classes[2:], classes[1:-1]].sum(dtype=np.float64))
+        """Summed log-probability of the classes of one text; no words: 0."""
+        return float(self.class_scores(classes, np.arange(WINDOW, len(classes) - WINDOW)).sum())
 
 
 def forward(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +156,8 @@ def forward(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
-def train(triples: np.ndarray, n: np.ndarray, common: list[str], epochs: int = 150, rate: float = 0.02, seed: int = 5) -> Model:
-    """Full-batch Adam on the cross-entropy of all counted triples, one added to each count of a seen pair's words. No triples: a uniform table."""
+def train(triples: np.ndarray, n: np.ndarray, epochs: int = 120, rate: float = 0.02, seed: int = 5) -> np.ndarray:
+    """``table[left, right, word]`` by full-batch Adam on the cross-entropy of all counted triples. No triples: a uniform table."""
     rng = np.random.default_rng(seed)
     shape = {"left": (CLASSES, DIM), "right": (CLASSES, DIM), "in_l": (DIM, HIDDEN), "in_r": (DIM, HIDDEN), "bias_h": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias_o": (CLASSES,)}
     p = {k: rng.normal(0, 0.3 if len(s) > 1 else 0, s).astype(np.float32) for k, s in shape.items()}
@@ -168,24 +181,28 @@ def train(triples: np.ndarray, n: np.ndarray, common: list[str], epochs: int = 1
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])
             p[k] -= rate * (1 - step / (epochs + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
-    return Model(common, forward(p)[1].reshape(CLASSES, CLASSES, CLASSES))
+    return forward(p)[1].reshape(CLASSES, CLASSES, CLASSES)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Train on all of ``docs``: the commonest words (ties by the alphabet) and every triple are counted over whole texts."""
+    """Train on all of ``docs``: the commonest words (ties by the alphabet), every triple and every other word are counted over whole texts."""
     counts = cut(word_counts(docs, text_col), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    common = [r["word"] for r in top]
+    common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     rest = counts.where(~F.col("word").isin(common)) if common else counts
-    totals = np.ones(HASHED, np.int64)
+    totals = [0] * HASHED
     for r in rest.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).alias("at")).agg(F.sum("n").alias("n")).collect():
         totals[r["at"]] = r["n"]
-    several = rest.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()
-    h, n = several.column("h").to_numpy(), several.column("n").to_numpy()
-    order = np.argsort(h)
-    got = triple_counts(docs, common, text_col).toPandas().sort_values("triple")
-    model = train(got["triple"].to_numpy(np.int64), got["n"].to_numpy(np.float32), common)
-    return Model(common, model.table, h[order], n[order], totals)
+    words = cut(rest.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n")), "word-table")
+    got = triple_counts(docs, common, text_col).toArrow().to_pandas(self_destruct=True)  # WINDOW x CLASSES cubed rows at most
+    tables, alone = [], np.ones(CLASSES)
+    for d in range(1, WINDOW + 1):
+        mine = got[got["distance"] == d]
+        triple, n = mine["triple"].to_numpy(np.int64), mine["n"].to_numpy(np.float32)
+        tables.append(train(triple, n))
+        if d == 1:
+            alone += np.bincount(triple % CLASSES, n, CLASSES)
+    alone[0] = 1
+    return Model(common, tables, np.log(alone / alone.sum()).astype(np.float32), totals, words)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,15 +210,43 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no words, a log-likelihood of 0 and a null
     ``per_word``. Repeated rows and ties score alike; other columns are ignored.
+    A word that the corpus of the model doesn't hold counts as one that occurs once.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    first = CLASSES - HASHED
+    names = ["id", "n_words", "of_classes", "rare"]
+    kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("times", pa.int64())])
+
+    def rare(words: list[str], c: np.ndarray) -> list[dict]:
+        """The distinct words of hashed classes: hash, class, how often."""
+        seen = Counter(words[i] for i in np.flatnonzero(c[WINDOW : len(c) - WINDOW] >= first))
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in seen], np.uint64).view(np.int64)
+        return [{"h": h, "at": crc32(w.encode("utf-8", "surrogatepass")) % HASHED, "times": n} for h, (w, n) in zip(hashes.tolist(), seen.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model.common)
         for b in batches:
-            rows = [classes.of(t) for t in b.column(1).to_pylist()]
-            n, sums = [len(c) - 2 for c in rows], [model.score(c) + model.inside(words_of(t), c) for t, c in zip(b.column(1).to_pylist(), rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n)], pa.float64())], ["id", "n_words", "log_likelihood", "per_word"])
-
-    return src.mapInArrow(run, f"{fields(src, 'id')}, n_words long, log_likelihood double, per_word double")
+            texts = b.column(1).to_pylist()
+            rows = [classes.of(t) for t in texts]
+            n = np.array([len(c) - 2 * WINDOW for c in rows], np.int64)
+            whole = np.concatenate([np.zeros(0, np.int64), *rows])
+            start = np.cumsum([0, *map(len, rows)])[:-1] + WINDOW
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = np.concatenate([[0.0], np.cumsum(model.class_scores(whole, at))])
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums[ends] - sums[ends - n]), pa.array([rare(words_of(t), c) for t, c in zip(texts, rows)], pa.list_(kind))], names)
+
+    scored = src.mapInArrow(run, f"{fields(src, 'id')}, n_words long, of_classes double, rare array<struct<h: bigint, at: int, times: bigint>>")
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the key is written, so it stays
+    words = scored.select("row", F.inline("rare"))
+    total = F.element_at(F.array(*[F.lit(max(t, 1)).cast("long") for t in model.totals]), F.col("at") + 1)
+    if model.words is not None:
+        words = words.join(model.words, "h", "left")
+    else:
+        words = words.withColumn("n", F.lit(None).cast("long"))
+    n = F.coalesce("n", F.lit(1))
+    inside = words.groupBy("row").agg(F.sum(F.col("times") * F.log(n / F.greatest(total, n))).alias("inside"))
+    got = scored.select("row", "id", "n_words", "of_classes").join(inside, "row", "left")
+    likelihood = F.col("of_classes") + F.coalesce("inside", F.lit(0.0))
+    return got.select("id", "n_words", likelihood.alias("log_likelihood"), F.when(F.col("n_words") > 0, likelihood / F.col("n_words")).alias("per_word"))
