@@ -8,7 +8,6 @@ nothing a row; of those that fit the longest (host and path together) decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +19,49 @@ from tidewater.llm.shared import small_batches
 # The rules of the contract.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-# Words of the labelled URL table.
-BAD = ["cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x", "free-money", "hot-loans", "click-bait", "fake-watches", "win-prize", "adult-chat", "crypto-double", "pills-shop", "track-ads", "bet-casino"]
-GOOD = ["news", "library", "weather", "gardening", "museum", "science", "recipes", "school", "sports", "travel", "northern", "station", "thermal", "other", "nation", "heating", "threads", "theatre", "earth", "reading", "thinking", "table", "shore", "then", "thread", "within", "houses", "union", "notion", "artist", "blended", "cinema"]
+# Words of the labelled URL table. Those of unwanted sites, and those of any other.
+BAD = """pills viagra cialis pharmacy steroids casino poker roulette slots jackpot betting bets bet gambling lottery bingo win winner prize loans payday credit cash money
+    free cheap discount replica watches handbags adult xxx porn sex cams dating escort nude ads adserver banner popup tracker track tracking clicks traffic spam
+    seo backlinks farm crack warez keygen torrent hack phish verify-account crypto double bitcoin forex miracle diet weightloss clickbait""".split()
+GOOD = """news library weather garden museum science recipes school sports travel station nation house music history health kitchen university research journal review
+    weekly daily times tribune gazette city council county river mountain forest ocean island harbour market bakery coffee books reader writer letters theatre cinema
+    gallery studio design paper print photo camera bicycle railway airport transport energy solar water earth planet nature animals birds flowers fashion leather
+    thread cotton wood stone metal garage motor engine tools builder plumber dentist clinic doctor hospital teacher student college academy language grammar english
+    mother father brother other another together weather whether rather further either there their then these those this that thing think through three north south
+    station motion notion question action fiction section portion fashion mission vision able table stable cable reliable finance bank insurance lawyer notary tax
+    software network server hosting data cloud mobile phone radio television video game chess football tennis swimming hiking climbing hotel restaurant tourism""".split()
 PREFIXES = ["", "www.", "blog.", "m."]
-TLDS = ["example.com", "example.net", "example.org"]
-PATHS = ["/en/1", "/fr/22", "/de/333.html", "/es/44/"]
+TLDS = ["com", "net", "org", "info", "example.com", "example.net", "example.org", "co.uk", "de", "es"]
+PATHS = ["/en/1", "/fr/22", "/de/333.html", "/es/44/", "/", "/index.html", "/a/b?c", "/2024/05/title"]
 
+#: The share of unwanted URLs to expect; the table holds more of them than the web does.
+PRIOR = 0.2
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 
 
-def labelled() -> list[tuple[str, str, int]]:
-    """The labelled table, (host, path, 1 for block): every word with every prefix and domain, paths in turn; no host is harmless."""
-    hosts = [(f"{f}{w}.{t}", y) for words, y in ((BAD, 1), (GOOD, 0)) for w, f, t in product(words, PREFIXES, TLDS)]
-    return [(h, PATHS[i % len(PATHS)], y) for i, (h, y) in enumerate(hosts)] + [("", "", 0)] * 16
+def labelled(every: int = 1, left: int = 0) -> list[tuple[str, str, int]]:
+    """The labelled table, (host, path, 1 for block), or its rows whose pair of words leaves ``left`` modulo ``every``; no host is harmless.
+
+    A host is one word or two neighbours of a fixed stride through its list,
+    joined with and without a hyphen; an unwanted word makes a host unwanted
+    beside a harmless one too. Prefixes, domains and paths go round alike for
+    both labels, so that they tell nothing.
+    """
+
+    def hosts(one: list[str], two: list[str], stride: int) -> list[list[str]]:
+        return [[a + glue + two[(i * stride + 5) % len(two)] for glue in ("-", "")] for i, a in enumerate(one)]
+
+    bad = [[w] for w in BAD] + hosts(BAD, BAD, 7) + hosts(BAD, BAD, 11) + hosts(BAD, GOOD, 13) + hosts(GOOD[::2], BAD, 3)
+    good = [[w] for w in GOOD] + hosts(GOOD, GOOD, 7) + hosts(GOOD, GOOD, 31)
+    out = []
+    for y, groups in ((1, bad), (0, good)):
+        for i, group in enumerate(groups):
+            for j, name in enumerate(group):
+                at = 3 * i + j
+                if i % every == left:
+                    out.append((f"{PREFIXES[at % len(PREFIXES)]}{name}.{TLDS[at % len(TLDS)]}", PATHS[at % len(PATHS)], y))
+    return out + [("", "", 0)] * 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -76,8 +103,8 @@ def margins(hosts: list[str], paths: list[str], weights: np.ndarray, bias: float
     return np.bincount(rows, weights[buckets], len(hosts)) / total + bias
 
 
-def train(table: list[tuple[str, str, int]], epochs: int = 300, rate: float = 2000.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent with decay. No rows: zeros."""
+def train(table: list[tuple[str, str, int]], epochs: int = 1000, rate: float = 2000.0, decay: float = 1e-5, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent with decay; the bias then moves from the table's share of unwanted URLs to ``prior``. No rows: zeros."""
     weights, bias = np.zeros(BUCKETS), 0.0
     if not table:
         return weights, bias
@@ -88,6 +115,8 @@ def train(table: list[tuple[str, str, int]], epochs: int = 300, rate: float = 20
         error = (1 / (1 + np.exp(-(np.bincount(rows, weights[buckets] * share, len(y)) + bias))) - y) / len(y)
         weights -= rate * (np.bincount(buckets, error[rows] * share, BUCKETS) + decay * weights / len(y))
         bias -= error.sum()
+    if 0 < (share_bad := y.mean()) < 1:
+        bias += np.log(prior / (1 - prior)) - np.log(share_bad / (1 - share_bad))
     return weights, float(bias)
 
 
