@@ -40,16 +40,28 @@ from tidewater.llm.shared import fields, small_batches
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-MEMO = 250_000
+MEMO = 400_000
 #: Longer segments are not kept in the memo.
 MEMO_CHARS = 48
 #: Characters that the search gets at a time, and that ``encode`` marks and splits at a time.
 CHUNK = 1024
 BLOCK = 65_536
+NEVER = float("-inf")
 #: What a Python worker keeps from task to task.
 _LOADED: dict[tuple, Pieces] = {}
 
 
+class Memo(dict):
+    """Ids by segment; a segment that isn't there is encoded, and kept if it is short."""
+
+    def __init__(self, v: Pieces) -> None:
+        super().__init__()
+        self.v = v
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        return segment_ids(segment, self.v)
+
+
 @dataclass
 class Pieces:
     """A vocabulary: ``ids`` and ``score`` of ordinary pieces, ``byte_ids`` of the 256 byte pieces, ``surface`` by id."""
@@ -60,13 +72,14 @@ class Pieces:
     surface: list[bytes | None]
     longest: int
     unknown: float
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
     trie: dict = field(default_factory=dict)
     inside: set[tuple[str, str]] = field(default_factory=set)
     newline_inside: bool = False
 
     def __post_init__(self) -> None:
         """The trie maps a character to (score of the piece that ends here or None, children)."""
+        self.memo = Memo(self)
         self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.newline_inside = any("\n" in pair for pair in self.inside)
         for piece, score in sorted(self.score.items()):
@@ -107,24 +120,29 @@ def stream(chunks: Iterable[str], v: Pieces) -> Iterator[int]:
     """Ids of a stream of characters, given out as soon as no later character can change them; ties go to the shorter last piece."""
     window, at, test = "", 0, 2 * v.longest  # at: the next start; test: where to look whether the paths have met
     best, back = [0.0], [0]  # for each boundary of the window: the score that leads there and where its last piece began
-    trie, known, unknown, longest = v.trie, v.ids, v.unknown, v.longest
+    trie, unknown, longest, nothing = v.trie, v.unknown, v.longest, (None, None)
     for chunk in chain(chunks, (None,)):
         if chunk is not None:
             window += chunk
-            best += [-np.inf] * len(chunk)
+            best += [NEVER] * len(chunk)
             back += [0] * len(chunk)
-        stop = len(window) if chunk is None else len(window) - longest + 1
+        size = len(window)
+        stop = size if chunk is None else size - longest + 1
         while at < stop:
-            so_far, children, end = best[at], trie, at
-            for c in window[at : at + longest]:
-                if c not in children:
+            so_far, end = best[at], at + 1
+            s, children = trie.get(window[at], nothing)
+            if s is None:  # no piece of its own
+                s = unknown
+            if so_far + s >= best[end]:
+                best[end], back[end] = so_far + s, at
+            while children and end < size:
+                got = children.get(window[end])
+                if got is None:
                     break
-                s, children = children[c]
+                s, children = got
                 end += 1
                 if s is not None and so_far + s >= best[end]:
                     best[end], back[end] = so_far + s, at
-            if window[at] not in known and so_far + unknown >= best[at + 1]:
-                best[at + 1], back[at + 1] = so_far + unknown, at
             at += 1
             if at >= test:
                 if met := _meeting(best, back, at, min(at + longest, len(best))):
@@ -132,8 +150,7 @@ def stream(chunks: Iterable[str], v: Pieces) -> Iterator[int]:
                     window, shift = window[met:], best[met]
                     best = [s - shift for s in best[met:]]
                     back = [0, *(b - met for b in back[met + 1 :])]
-                    at -= met
-                    stop -= met
+                    at, stop, size = at - met, stop - met, size - met
                     test = max(at, longest) + longest
                 else:
                     test *= 2
@@ -142,7 +159,7 @@ def stream(chunks: Iterable[str], v: Pieces) -> Iterator[int]:
 
 def _meeting(best: list[float], back: list[int], start: int, end: int) -> int:
     """The last boundary through which the paths to all reached boundaries from ``start`` on go; 0: they meet nowhere else."""
-    alive = {i for i in range(start, end) if best[i] > -np.inf}
+    alive = {i for i in range(start, end) if best[i] > NEVER}
     while len(alive) > 1:
         last = max(alive)
         alive.discard(last)
@@ -226,15 +243,7 @@ def _encode_block(text: str, v: Pieces, first: bool) -> list[int]:
         apart = apart.replace(f"{MARK} {MARK}", MARK * 2)
     if "\n" in apart and not v.newline_inside:
         apart = apart.replace("\n", " \n ")
-    segments = apart.split(" ")
-    memo = v.memo
-    for segment in set(segments):
-        if segment not in memo:
-            segment_ids(segment, v)
-    try:
-        return list(chain.from_iterable(map(memo.__getitem__, segments)))
-    except KeyError:  # too long to keep, or dropped from the memo meanwhile
-        return list(chain.from_iterable(segment_ids(x, v) for x in segments))
+    return list(chain.from_iterable(map(v.memo.__getitem__, apart.split(" "))))
 
 
 def decode(ids: list[int], v: Pieces) -> str:
