@@ -221,7 +221,9 @@ def test_counts_cover_the_corpus(spark, sf):
     assert {r["distance"]: r["n"] for r in bidilm.triple_counts(docs, ["the", "of"]).groupBy("distance").agg(F.sum("n").alias("n")).collect()} == {1: words, 2: words}
 
 
-def test_words_of_one_class_score_by_their_own_counts(spark):
+@pytest.mark.parametrize("listed", [1 << 18, 1])
+def test_words_of_one_class_score_by_their_own_counts(spark, monkeypatch, listed):
+    monkeypatch.setattr(bidilm, "LISTED", listed)
     common = [f"c{i}" for i in range(bidilm.COMMON)]
     made = bidilm.Classes(common)
     same = [w for w in (f"r{i}" for i in range(2000)) if made[w] == made["r0"]][:3]

@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ HASHED = 32
 #: Words read on either side; words that are scored at a time.
 WINDOW = 2
 CHUNK = 8192
+#: Words of hashed classes, the commonest, whose counts go to every task (16 bytes each); the others' are joined.
+LISTED = 1 << 18
 COMMON = CLASSES - HASHED - 1
 DIM = 24
 HIDDEN = 48
@@ -50,19 +51,34 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """XXH64 of each word, as the engine's own function gives it."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in words), np.uint64, len(words)).view(np.int64)
+
+
 class Classes(dict):
-    """Class by word; hashed ones are not kept."""
+    """Class by word; those of hashed classes aren't kept: the last bits of their hash tell."""
 
     def __init__(self, common: list[str]) -> None:
         super().__init__((w, i + 1) for i, w in enumerate(common))
         self.first = CLASSES - HASHED
 
     def __missing__(self, word: str) -> int:
-        return self.first + crc32(word.encode("utf-8", "surrogatepass")) % HASHED
+        return self.first + int(hashes_of([word])[0]) % HASHED
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of a text's words, with ``WINDOW`` ends before and after, and the hashes of the words of hashed classes, in order."""
+        words = words_of(text)
+        c = np.zeros(len(words) + 2 * WINDOW, np.int64)
+        known = c[WINDOW : WINDOW + len(words)]
+        known[:] = [self.get(w, 0) for w in words]
+        rare = np.flatnonzero(known == 0)
+        h = hashes_of([words[i] for i in rare])
+        known[rare] = self.first + h % HASHED
+        return c, h
 
     def of(self, text: str | None) -> np.ndarray:
-        """Classes of a text's words, with ``WINDOW`` ends before and after."""
-        return np.array([*[0] * WINDOW, *map(self.__getitem__, words_of(text)), *[0] * WINDOW], np.int64)
+        return self.read(text)[0]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,14 +132,17 @@ def triple_counts(docs: DataFrame, common: list[str], text_col: str = "text") ->
 class Model:
     """``common`` words; ``tables[distance - 1][left, right, word]``: log-probabilities of classes; ``prior``: those of classes alone.
 
-    ``words``: a written table ``(h, n)`` of how often each word of a hashed class
-    occurs, by its hash; ``totals``: words in each hashed class.
+    ``totals``: words in each hashed class. ``listed`` and ``times``: hashes,
+    sorted, and counts of their commonest words; ``words``: a written table
+    ``(h, n)`` of the others that occur more than once.
     """
 
     common: list[str]
     tables: list[np.ndarray]
     prior: np.ndarray
-    totals: list[int]
+    totals: np.ndarray
+    listed: np.ndarray
+    times: np.ndarray
     words: DataFrame | None = None
 
     def __getstate__(self) -> dict:
@@ -189,10 +208,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     counts = cut(word_counts(docs, text_col), "word-counts")
     common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     rest = counts.where(~F.col("word").isin(common)) if common else counts
-    totals = [0] * HASHED
-    for r in rest.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).alias("at")).agg(F.sum("n").alias("n")).collect():
-        totals[r["at"]] = r["n"]
     words = cut(rest.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n")), "word-table")
+    totals = np.zeros(HASHED, np.int64)
+    for r in words.groupBy(F.pmod("h", F.lit(HASHED)).alias("at")).agg(F.sum("n").alias("n")).collect():
+        totals[r["at"]] = r["n"]
+    top = words.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    listed, times = top.column("h").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(listed)
+    least = (int(times.min()), int(listed[times == times.min()].max())) if len(listed) == LISTED else (0, 0)
+    others = words.where((F.col("n") > 1) & ((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("h") > least[1]))))
     got = triple_counts(docs, common, text_col).toArrow().to_pandas(self_destruct=True)  # WINDOW x CLASSES cubed rows at most
     tables, alone = [], np.ones(CLASSES)
     for d in range(1, WINDOW + 1):
@@ -202,7 +226,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         if d == 1:
             alone += np.bincount(triple % CLASSES, n, CLASSES)
     alone[0] = 1
-    return Model(common, tables, np.log(alone / alone.sum()).astype(np.float32), totals, words)
+    return Model(common, tables, np.log(alone / alone.sum()).astype(np.float32), totals, listed[order], times[order], others)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,39 +238,37 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = CLASSES - HASHED
-    names = ["id", "n_words", "of_classes", "rare"]
-    kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("times", pa.int64())])
-
-    def rare(words: list[str], c: np.ndarray) -> list[dict]:
-        """The distinct words of hashed classes: hash, class, how often."""
-        seen = Counter(words[i] for i in np.flatnonzero(c[WINDOW : len(c) - WINDOW] >= first))
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in seen], np.uint64).view(np.int64)
-        return [{"h": h, "at": crc32(w.encode("utf-8", "surrogatepass")) % HASHED, "times": n} for h, (w, n) in zip(hashes.tolist(), seen.items())]
+    names = ["id", "n_words", "likelihood", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model.common)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            rows = [classes.of(t) for t in texts]
-            n = np.array([len(c) - 2 * WINDOW for c in rows], np.int64)
-            whole = np.concatenate([np.zeros(0, np.int64), *rows])
-            start = np.cumsum([0, *map(len, rows)])[:-1] + WINDOW
-            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sums = np.concatenate([[0.0], np.cumsum(model.class_scores(whole, at))])
+            rows = [classes.read(t) for t in b.column(1).to_pylist()]
+            n = np.array([len(c) - 2 * WINDOW for c, _ in rows], np.int64)
+            whole = np.concatenate([np.zeros(0, np.int64), *[c for c, _ in rows]])
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums[ends] - sums[ends - n]), pa.array([rare(words_of(t), c) for t, c in zip(texts, rows)], pa.list_(kind))], names)
-
-    scored = src.mapInArrow(run, f"{fields(src, 'id')}, n_words long, of_classes double, rare array<struct<h: bigint, at: int, times: bigint>>")
+            at = np.repeat(np.cumsum(n + 2 * WINDOW) - n - WINDOW - ends + n, n) + np.arange(n.sum())
+            sums = np.concatenate([[0.0], np.cumsum(model.class_scores(whole, at))])
+            h = np.concatenate([np.zeros(0, np.int64), *[x for _, x in rows]])
+            owner = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
+            known = np.zeros(len(h), bool)
+            inside = np.zeros(len(rows))
+            if len(model.listed):
+                i = np.minimum(np.searchsorted(model.listed, h), len(model.listed) - 1)
+                known = model.listed[i] == h
+                share = np.log(model.times[i[known]] / model.totals[h[known] % HASHED])
+                inside = np.bincount(owner[known], share, len(rows))
+            left = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=len(rows)))]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(left), pa.array(h[~known]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums[ends] - sums[ends - n] + inside), rare], names)
+
+    scored = src.mapInArrow(run, f"{fields(src, 'id')}, n_words long, likelihood double, rare array<long>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the key is written, so it stays
-    words = scored.select("row", F.inline("rare"))
-    total = F.element_at(F.array(*[F.lit(max(t, 1)).cast("long") for t in model.totals]), F.col("at") + 1)
-    if model.words is not None:
-        words = words.join(model.words, "h", "left")
-    else:
-        words = words.withColumn("n", F.lit(None).cast("long"))
-    n = F.coalesce("n", F.lit(1))
-    inside = words.groupBy("row").agg(F.sum(F.col("times") * F.log(n / F.greatest(total, n))).alias("inside"))
-    got = scored.select("row", "id", "n_words", "of_classes").join(inside, "row", "left")
-    likelihood = F.col("of_classes") + F.coalesce("inside", F.lit(0.0))
+    words = scored.select("row", F.explode("rare").alias("h"))
+    words = words.withColumn("n", F.lit(None).cast("long")) if model.words is None else words.join(model.words, "h", "left")
+    total = F.element_at(F.array(*[F.lit(int(t)) for t in model.totals]), F.pmod("h", F.lit(HASHED)).cast("int") + 1)
+    n = F.coalesce("n", F.lit(1)).cast("long")
+    inside = words.groupBy("row").agg(F.sum(F.log(n / F.greatest(total, n))).alias("inside"))
+    got = scored.select("row", "id", "n_words", "likelihood").join(inside, "row", "left")
+    likelihood = F.col("likelihood") + F.coalesce("inside", F.lit(0.0))
     return got.select("id", "n_words", likelihood.alias("log_likelihood"), F.when(F.col("n_words") > 0, likelihood / F.col("n_words")).alias("per_word"))
