@@ -38,7 +38,7 @@ HASHED = 32
 #: Words read on either side; words that are scored at a time.
 WINDOW = 2
 CHUNK = 8192
-#: Words of hashed classes, the commonest, whose counts go to every task (16 bytes each); the others' are joined.
+#: Words of hashed classes, the commonest, whose counts go to every task at most (16 bytes each); the others' are joined.
 LISTED = 1 << 18
 COMMON = CLASSES - HASHED - 1
 DIM = 24
@@ -212,11 +212,17 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     totals = np.zeros(HASHED, np.int64)
     for r in words.groupBy(F.pmod("h", F.lit(HASHED)).alias("at")).agg(F.sum("n").alias("n")).collect():
         totals[r["at"]] = r["n"]
-    top = words.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    size = F.floor(8 * F.log2("n"))
+    least, held = None, 0
+    for r in words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred sizes
+        held += r["count"]
+        if held > LISTED:
+            break
+        least = r["size"]
+    top = (words.limit(0) if least is None else words.where(size >= least)).toArrow()  # LISTED words at most
     listed, times = top.column("h").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(listed)
-    least = (int(times.min()), int(listed[times == times.min()].max())) if len(listed) == LISTED else (0, 0)
-    others = words.where((F.col("n") > 1) & ((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("h") > least[1]))))
+    others = words.where((F.col("n") > 1) & (F.lit(True) if least is None else size < least))
     got = triple_counts(docs, common, text_col).toArrow().to_pandas(self_destruct=True)  # WINDOW x CLASSES cubed rows at most
     tables, alone = [], np.ones(CLASSES)
     for d in range(1, WINDOW + 1):
