@@ -223,12 +223,14 @@ def rfm_base(k: Lake) -> DataFrame:
 @query(
     "o dim",
     f"""{RFM} SELECT customer_key, q.customer_id, loyalty_tier, segment, is_tombstone AS is_deleted, last_order, frequency, monetary, r, f, m, r + f + m AS rfm_score,
-    {SEGMENT} AS rfm_segment, round(monetary / frequency, 2) AS nadd_avg_order_value FROM q JOIN dim ON dim.customer_id = q.customer_id AND is_current""",
+    {SEGMENT} AS rfm_segment, ((2 * (monetary::DECIMAL(18,2) * 100)::BIGINT + frequency) // (2 * frequency)) / 100.0::DOUBLE AS nadd_avg_order_value FROM q JOIN dim ON dim.customer_id = q.customer_id AND is_current""",
 )
 def mart_customer_rfm(k: Lake) -> DataFrame:
     """Scores with the current version of the customer, of those deleted too. Recent customers score 5, as the segment rules need."""
     now = dim_customer_frame(k).where("is_current").select("customer_key", "customer_id", "loyalty_tier", "segment", F.col("is_tombstone").alias("is_deleted"))
-    scored = rfm_base(k).withColumns({"rfm_score": F.col("r") + F.col("f") + F.col("m"), "rfm_segment": F.expr(SEGMENT), "nadd_avg_order_value": F.round(F.col("monetary") / F.col("frequency"), 2)})
+    # halves of cents go up, in whole numbers
+    average = F.expr("((2 * cast(cast(monetary as decimal(18,2)) * 100 as bigint) + frequency) div (2 * frequency)) / 100.0D")
+    scored = rfm_base(k).withColumns({"rfm_score": F.col("r") + F.col("f") + F.col("m"), "rfm_segment": F.expr(SEGMENT), "nadd_avg_order_value": average})
     return scored.join(now, "customer_id")
 
 
