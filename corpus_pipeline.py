@@ -30,7 +30,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, their digest and whether they decode to its text."""
-    return viterbi.encode_table(docs, viterbi.Pieces.load()).withColumnRenamed("id", "doc_id")
+    # workers go on to other stages, so they remember less here
+    return viterbi.encode_table(docs, viterbi.Pieces.load(keep=150_000)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark_leaks), ("sentencepiece", encode_pieces)]

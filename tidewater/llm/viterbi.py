@@ -76,6 +76,7 @@ class Pieces:
     trie: dict = field(default_factory=dict)
     inside: set[tuple[str, str]] = field(default_factory=set)
     newline_inside: bool = False
+    keep: int = MEMO
 
     def __post_init__(self) -> None:
         """The trie maps a character to (score of the piece that ends here or None, children)."""
@@ -89,7 +90,8 @@ class Pieces:
             children[piece[-1]] = (score, children.get(piece[-1], (None, {}))[1])
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Pieces:
+    def load(cls, path: str = MODEL, keep: int = MEMO) -> Pieces:
+        """The vocabulary of a model file; ``keep``: segments that a worker remembers at most."""
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids, score, bytes_, surface = {}, {}, [0] * 256, []
         for i in range(sp.get_piece_size()):
@@ -102,14 +104,14 @@ class Pieces:
             else:
                 ids[piece], score[piece] = i, sp.get_score(i)
                 surface.append(piece.replace(MARK, " ").encode())
-        return cls(ids, score, bytes_, surface, max(map(len, ids)), min(score.values()) - UNKNOWN_PENALTY)
+        return cls(ids, score, bytes_, surface, max(map(len, ids)), min(score.values()) - UNKNOWN_PENALTY, keep=keep)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "trie": {}, "inside": set()}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        key = (len(self.ids), self.longest, self.unknown)
+        key = (len(self.ids), self.longest, self.unknown, self.keep)
         if key not in _LOADED:
             self.__post_init__()
             _LOADED[key] = self
@@ -199,7 +201,7 @@ def segment_ids(segment: str, v: Pieces) -> tuple[int, ...]:
         if got is None:
             got = tuple(stream(chunked(part), v))
             if len(part) <= MEMO_CHARS:
-                if len(v.memo) >= MEMO:
+                if len(v.memo) >= v.keep:
                     v.memo.clear()
                 v.memo[part] = got
         out += got
