@@ -41,10 +41,27 @@ def run(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
     return spark.createDataFrame(rows, RESULT)
 
 
+# What a run's exit code tells.
+EXIT_OK, EXIT_ERROR, EXIT_BLOCKED, EXIT_UPSTREAM = 0, 1, 2, 3
+
+
+class QualityError(RuntimeError):
+    """A blocking gate failed."""
+
+
+def exit_code_of(error: BaseException | None) -> int:
+    """The exit code of a run that ended so: a blocked gate, a source that can't be reached, any other error."""
+    if error is None:
+        return EXIT_OK
+    if isinstance(error, QualityError):
+        return EXIT_BLOCKED
+    return EXIT_UPSTREAM if isinstance(error, (ConnectionError, TimeoutError)) else EXIT_ERROR
+
+
 def exit_code(results: DataFrame, fail_on_warn: bool = False) -> int:
     """0 passed, 2 a blocking check failed (or a warning, if asked for)."""
     bad = [BLOCK, *[WARN, QUARANTINE] * fail_on_warn]
-    return 2 if results.where((F.col("status") == "FAIL") & F.col("severity").isin(*bad)).limit(1).count() else 0
+    return EXIT_BLOCKED if results.where((F.col("status") == "FAIL") & F.col("severity").isin(*bad)).limit(1).count() else EXIT_OK
 
 
 def referential(child: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:

@@ -13,12 +13,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater import spec
 from tidewater.functions.scalar import money
 
-# Vocabularies of the data model.
-CHANNELS = ["organic", "paid_search", "email", "social", "direct", "affiliate"]
-DEVICES = ["desktop", "mobile", "tablet"]
-PRIORITIES = ["low", "normal", "high", "urgent"]
+# Lists, as both Python and the SQL below write them.
+CHANNELS = list(spec.CHANNEL)
+DEVICES = list(spec.DEVICE)
+PRIORITIES = list(spec.PRIORITY)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -6,6 +6,8 @@ of all lines and the revenue of recognised ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,11 +333,35 @@ def dq_invariant_3vl(k: Lake) -> DataFrame:
     return Q.invariant(k.payments, F.col("failure_reason") != "reason_1", F.col("order_id") % 2 == 0)
 
 
-@query("", "SELECT t AS table_name, 1::BIGINT AS scanned, CASE WHEN n < 10 THEN 1 ELSE 0 END::BIGINT AS failed FROM (SELECT 'region' AS t, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders)")
+#: Tables that must hold something, and how much.
+VOLUMES = {"region": 5, "nation": 25, "customer": 100, "supplier": 10, "part": 100, "orders": 1000, "lineitem": 5000, "events": 1000, "documents": 100, "labels": 10, "conversations": 10, "pages": 10, "benchmark": 100_000}
+
+
+@query("", " UNION ALL ".join(f"SELECT '{t}' AS table_name, 1::BIGINT AS scanned, CASE WHEN count(*) < {n} THEN 1 ELSE 0 END::BIGINT AS failed FROM {t}" for t, n in VOLUMES.items()))
 def dq_not_empty(k: Lake) -> DataFrame:
-    from functools import reduce
+    """Every table of the data model; the last bound is one that fails."""
+    each = [Q.not_empty(k.raw(t), n).select(F.lit(t).alias("table_name"), "scanned", "failed") for t, n in VOLUMES.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: (child, its column, parent, its column) as the stand-ins have them.
+LINKS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("events", "user_id", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"), ("customer", "c_nationkey", "nation", "n_nationkey")]
+
+
+@query("", " UNION ALL ".join(f"SELECT '{c}.{x}' AS reference, count(*) AS scanned, count(*) FILTER (NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{y} = {c}.{x})) AS failed FROM {c} WHERE {c}.{x} IS NOT NULL" for c, x, p, y in LINKS))
+def dq_references(k: Lake) -> DataFrame:
+    """Every reference of the data model."""
+    each = [Q.referential(k.raw(c).select(F.col(x).alias("ref")), "ref", k.raw(p), y).select(F.lit(f"{c}.{x}").alias("reference"), "scanned", "failed") for c, x, p, y in LINKS]
+    return reduce(DataFrame.unionByName, each)
+
+
+UNIQUE = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "part": ["p_partkey"], "documents": ["doc_id"], "events": ["event_id"], "pages": ["url"]}
+
 
-    each = [Q.not_empty(k.raw(t), 10).select(F.lit(t).alias("table_name"), "scanned", "failed") for t in ("region", "nation", "orders")]
+@query("", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS scanned, count(*) - count(DISTINCT ({', '.join(f'coalesce({x}::VARCHAR, chr(0))' for x in c)})) AS failed FROM {t}" for t, c in UNIQUE.items()))
+def dq_unique_keys(k: Lake) -> DataFrame:
+    """The key of every table; pages repeat their URLs."""
+    each = [Q.unique_key(k.raw(t), c).select(F.lit(t).alias("table_name"), "scanned", "failed") for t, c in UNIQUE.items()]
     return reduce(DataFrame.unionByName, each)
 
 

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import conform, quality
+from tidewater.operators import conform, quality, suites
 from tidewater.operators.materialise import written
+from tidewater.operators.quality import QualityError
 from tidewater.sources import readers, writers
 from tidewater.spec import ENTITIES, Entity
 
@@ -17,10 +18,6 @@ from tidewater.spec import ENTITIES, Entity
 MAX_QUARANTINE_PCT = 10.0
 
 
-class QualityError(RuntimeError):
-    """A blocking gate failed."""
-
-
 def gates(judged: DataFrame, captured: int, spec: Entity) -> list[tuple]:
     """Result rows of a build: one for each reason, one for duplicates, one for the rate of rejects."""
     counts = {r["_quarantine_reason"]: r["count"] for r in judged.groupBy("_quarantine_reason").count().collect()}  # as many rows as rules
@@ -68,6 +65,23 @@ def run(spark: SparkSession, root: str, captures: dict[str, DataFrame], now: Cal
     return out
 
 
+def check(spark: SparkSession, root: str, now: Callable[[], datetime]) -> DataFrame:
+    """Run the declared checks over the silver tables that there are and the run log; results go to the history, then a failed blocking one raises."""
+    log, results = f"{root}/meta/runs", f"{root}/meta/checks"
+    rows: list[DataFrame] = []
+
+    def work() -> int:
+        tables = {name: spark.read.parquet(f"{root}/silver/{name}") for name in ENTITIES if readers.exists(spark, f"{root}/silver/{name}")}
+        rows.append(got := quality.run(spark, suites.declared(tables, spark.read.parquet(log), F.lit(now()))))
+        writers.append_log(spark, [tuple(r) for r in got.collect()], quality.RESULT, results)  # a row a check
+        if quality.exit_code(got):
+            raise QualityError("a blocking check failed")
+        return got.count()
+
+    writers.logged_run(spark, log, "dq:declared", work, now)
+    return rows[0]
+
+
 def reconciled(spark: SparkSession, root: str, results: str) -> DataFrame:
     """Latest outcome of each check of a run's history."""
     h = spark.read.parquet(results).withColumn("at", F.monotonically_increasing_id())
