@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import arc, bidilm, chroma, decontam, licences, simhash, tokencount, toxicity, urlfilter, viterbi
+from tidewater.llm import arc, bidilm, chroma, codes, decontam, hardneg, licences, secretscan, simhash, tokencount, toxicity, urlfilter, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "distance")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 100, against all rows."""
+    return hardneg.mine(hardneg.shifted(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(secretscan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ten = (op1_chroma, op2_arc_to_warc, op3_sentencepiece, op4_url_filter, op5_simhash, op6_pseudo_likelihood, op7_token_counts, op8_licences, op9_toxicity, op10_decontamination)
-    return {f.__name__: f for f in all_ten}
+    every = (op1_chroma, op2_arc_to_warc, op3_sentencepiece, op4_url_filter, op5_simhash, op6_pseudo_likelihood, op7_token_counts, op8_licences, op9_toxicity, op10_decontamination, op11_hard_negatives, op12_vector_codes, op13_secret_scan)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The licence scan has a SQL form; the other operators hash, train or archive beyond DuckDB's SQL and are tested by brute force."""
-    return {"op8_licences": licences.scan_sql()}
+    """The other operators hash, train, compress or archive beyond DuckDB's SQL and are tested by brute force."""
+    return {"op8_licences": licences.scan_sql(), "op11_hard_negatives": hardneg.SQL, "op12_vector_codes": codes.sql()}
