@@ -17,4 +17,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: what reads it twice reads the same rows."""
     df.write.parquet(path := scratch(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, where they are, by whatever file system holds them."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

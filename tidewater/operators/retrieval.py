@@ -28,19 +28,10 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n.cast("double") - df.cast("double") + F.lit(0.5)) / (df.cast("double") + F.lit(0.5)))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """``(query_id, id, score, rank)``: the ``pool`` best of each query of ``queries(query_id, lexeme)``.
-
-    Document frequencies count over the index; of it only postings of asked
-    lexemes are joined. Ties go to the smaller id.
-    """
-    df = index.groupBy("lexeme").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", "lexeme").distinct()
-    weights = asked.select("lexeme").distinct().join(df, "lexeme").crossJoin(F.broadcast(stats)).select("lexeme", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len").cast("double") / F.col("avg_len"))
-    term = F.col("idf") * F.col("tf").cast("double") * F.lit(K1 + 1) / (F.col("tf").cast("double") + norm)
-    scored = index.join(weights, "lexeme").withColumn("s", term).join(asked, "lexeme").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top(scored, "query_id", pool)
+def term_weight(idf: Column, tf: Column, doc_len: Column, avg_len: Column) -> Column:
+    """What one lexeme adds to a chunk's BM25 score."""
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * doc_len.cast("double") / avg_len)
+    return idf * tf.cast("double") * F.lit(K1 + 1) / (tf.cast("double") + norm)
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewater.functions import analyse, masking
 from tidewater.functions.scalar import identifiers
 from tidewater.operators import retrieval as R
+from tidewater.operators.materialise import scratch
+from tidewater.operators.textindex import TextIndex
 from tidewater.plans.base import Lake, query
 
 # SQL of the analyser without stemming.
@@ -22,21 +24,21 @@ _VEC = "vs AS (SELECT query_id, v.vec_id AS id, round(list_cosine_similarity(v.e
 _REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 
 
-def index(k: Lake) -> DataFrame:
-    return R.terms(k.raw("documents"), "doc_id", "text")
+def units(k: Lake) -> DataFrame:
+    """Each document as one unit of the index."""
+    return k.raw("documents").select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
-def stats(k: Lake) -> DataFrame:
-    return R.corpus_stats(k.raw("documents"), "text")
-
-
-def asked(k: Lake) -> DataFrame:
-    b = k.raw("benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(analyse.tokens(F.col("text")))).alias("lexeme"))
+def indexed(k: Lake, stemmed: bool = False) -> TextIndex:
+    """An index of the documents, written afresh."""
+    index = TextIndex(k.spark, scratch(k.spark, "index"), stemmed)
+    index.refresh(units(k))
+    return index
 
 
 def lexical(k: Lake, pool: int) -> DataFrame:
-    return R.bm25(index(k), stats(k), asked(k), pool)
+    index = indexed(k)
+    return index.bm25(index.asked(k.raw("benchmark"), "item_id", "text"), pool)
 
 
 def vector(k: Lake, pool: int) -> DataFrame:
@@ -72,7 +74,7 @@ def text_chunks(k: Lake) -> DataFrame:
 
 @query("", f"WITH {_DOCS}, {_IX} SELECT id AS doc_id, lexeme, tf FROM ix")
 def text_terms(k: Lake) -> DataFrame:
-    return index(k).select(F.col("id").alias("doc_id"), "lexeme", "tf")
+    return R.terms(k.raw("documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "lexeme", "tf")
 
 
 @query("", f"WITH {_DOCS}, {_IX}, {_Q}, {_BM25.format(10)} SELECT query_id, id, score, rank FROM bm")
@@ -152,6 +154,30 @@ def enrichment_parse(k: Lake) -> DataFrame:
     return got.select("doc_id", error.alias("error"), F.col("j.quality").alias("quality"))
 
 
+def refreshed(k: Lake) -> TextIndex:
+    """An index of an older state of the documents (a third not there yet, a seventh with another text, as many more that are gone since), brought up to date."""
+    index = TextIndex(k.spark, scratch(k.spark, "index"), stemmed=False)
+    d = units(k)
+    stale = F.concat(F.coalesce("content", F.lit("")), F.when(F.col("doc_id") % 7 == 0, F.lit(" stale words of an older text")).otherwise(F.lit("")))
+    older = d.where("doc_id % 3 <> 0").withColumn("content", stale)
+    gone = d.where("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), (F.col("id") + 1_000_000_000_000).alias("id"), "content")
+    index.refresh(older.union(gone))
+    index.refresh(d)
+    return index
+
+
+@query("", f"WITH {_DOCS}, {_IX} SELECT id AS doc_id, lexeme, tf, doc_len FROM ix")
+def index_refresh_postings(k: Lake) -> DataFrame:
+    """The postings of an index that was refreshed; the SQL builds them from nothing."""
+    return refreshed(k).postings().select(F.col("id").alias("doc_id"), "lexeme", "tf", "doc_len")
+
+
+@query("", f"WITH {_DOCS}, {_IX} SELECT lexeme, count(*) AS df FROM ix GROUP BY 1")
+def index_refresh_frequencies(k: Lake) -> DataFrame:
+    """Document frequencies as sums of signed changes; the SQL counts them."""
+    return refreshed(k).frequencies()
+
+
 @query("", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.h IS NULL THEN 'orphan' WHEN b.h IS NULL THEN 'new' ELSE 'changed' END AS action FROM (SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0) a FULL JOIN (SELECT doc_id AS id, md5(text || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 3 <> 0) b ON a.id = b.id WHERE a.h IS DISTINCT FROM b.h")
 def index_incremental(k: Lake) -> DataFrame:
     """What an incremental index run has to do: chunks new, changed or gone; equal content hashes are skipped."""
