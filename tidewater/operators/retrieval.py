@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.analyse import lexemes, sentences, tokens
-from tidewater.functions.scalar import cosine
 
 # Ranking parameters.
 K1, B = 1.2, 0.75
@@ -40,15 +39,6 @@ def top(scored: DataFrame, by: str, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def vector_search(vectors: DataFrame, query: DataFrame, pool: int = POOL) -> DataFrame:
-    """Exact cosine search of ``vectors(id, v)`` with few queries ``(query_id, q)``; result as of ``bm25``.
-
-    The caller bounds the query set; it is sent to every task.
-    """
-    scored = vectors.crossJoin(F.broadcast(query)).select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, "query_id", pool)
-
-
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = TOP_K, weights: tuple[float, float] = (1.0, 1.0), require: str | None = None) -> DataFrame:
     """Reciprocal rank fusion of two pools: sum of weight / (60 + rank).
 

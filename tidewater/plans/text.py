@@ -10,6 +10,7 @@ from tidewater.functions.scalar import identifiers
 from tidewater.operators import retrieval as R
 from tidewater.operators.materialise import scratch
 from tidewater.operators.textindex import TextIndex
+from tidewater.operators.vectorindex import VectorIndex, exact_search
 from tidewater.plans.base import Lake, query
 
 # SQL of the analyser without stemming.
@@ -19,8 +20,8 @@ _DOCS = f"d AS (SELECT doc_id AS id, text, {TOKENS.format('text')} AS w FROM doc
 _IX = "ix AS (SELECT id, lexeme, len(w) AS doc_len, count(*) AS tf FROM (SELECT id, w, unnest(w) AS lexeme FROM d) GROUP BY ALL), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM d)"
 _Q = f"q AS (SELECT item_id AS query_id, lexeme FROM (SELECT DISTINCT item_id, unnest({TOKENS.format('text')}) AS lexeme FROM benchmark))"
 _BM25 = "df AS (SELECT lexeme, count(*) AS df FROM ix WHERE lexeme IN (SELECT lexeme FROM q) GROUP BY 1), sc AS (SELECT query_id, id, round(sum(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score FROM ix JOIN df USING (lexeme) JOIN q USING (lexeme), st GROUP BY 1, 2), bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= {0})"
-#: The vector side: vector i stands for document i and, for the benchmark's ids, for the question. The SQL asks ids 0 to 39, all that tables of 40 questions have.
-_VEC = "vs AS (SELECT query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], x.e), 6) AS score FROM embeddings v, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 40) x), vp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= {0})"
+#: The vector side: vector i stands for document i and, for the benchmark's ids, for the question.
+_VEC = "vs AS (SELECT query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], x.e), 6) AS score FROM embeddings v, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) x), vp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= {0})"
 _REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 
 
@@ -44,7 +45,7 @@ def lexical(k: Lake, pool: int) -> DataFrame:
 def vector(k: Lake, pool: int) -> DataFrame:
     e = k.raw("embeddings")
     own = e.join(k.raw("benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    return R.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), pool)
+    return exact_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), pool)
 
 
 def relevant(k: Lake) -> DataFrame:
@@ -87,6 +88,17 @@ def vector_topk(k: Lake) -> DataFrame:
     return vector(k, 5)
 
 
+@query("", "SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS questions, 5 * (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS neighbours, true AS reached")
+def vector_lists_recall(k: Lake) -> DataFrame:
+    """Every fiftieth vector against all by coarse lists, held against the exact search: whether 95 of 100 of the five nearest are found."""
+    e = k.raw("embeddings")
+    vectors, asked = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = VectorIndex(k.spark, scratch(k.spark, "vectors")).build(vectors)
+    true = exact_search(vectors, asked, 5)
+    hit = true.join(index.search(asked, 5).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("questions"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.95 * F.count("*")).alias("reached"))
+
+
 _FUSE = "fz AS (SELECT coalesce(bm.query_id, vp.query_id) AS query_id, coalesce(bm.id, vp.id) AS id, bm.rank AS lex_rank, vp.rank AS vec_rank, vp.score AS similarity, round(coalesce(1.0::DOUBLE / (60 + bm.rank), 0) + coalesce(1.0::DOUBLE / (60 + vp.rank), 0), 9) AS score FROM bm FULL JOIN vp ON bm.query_id = vp.query_id AND bm.id = vp.id), fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fz) WHERE rank <= 5)"
 
 
