@@ -11,7 +11,7 @@ from tidewater.functions import scalar as S
 from tidewater.operators import materialise, serving
 from tidewater.plans import marts
 from tidewater.plans.base import Lake, query
-from tidewater.streaming import avro, flows
+from tidewater.streaming import avro, closing, flows, topics
 
 
 def scratch(k: Lake) -> str:
@@ -94,12 +94,71 @@ def stream_session_windows(k: Lake) -> DataFrame:
     return flows.run_to_table(got, "complete", scratch(k))
 
 
-@query("", "SELECT 'events' AS source, count(*) AS latest, count(*) AS consumed, 0::BIGINT AS lag FROM events")
+# Records of the topics below: of every twenty events one is no JSON, one cut short, one lacks its type, one has an unknown one; a quarter of them a batch.
+_JSON = "event_id bigint, user_id bigint, event_type string"
+_FILES = 4
+
+
+def topic(k: Lake, batches: int = 1) -> str:
+    """The events as a topic of files, appended in ``batches`` by their ids."""
+    e = k.raw("events")
+    whole = F.to_json(F.struct("event_id", "user_id", F.when(F.col("event_id") % 20 == 3, F.lit("unheard_of")).otherwise(F.col("event_type")).alias("event_type")))
+    value = F.when(F.col("event_id") % 20 == 0, F.lit("not json")).when(F.col("event_id") % 20 == 1, F.substring(whole, 1, 12)).when(F.col("event_id") % 20 == 2, F.to_json(F.struct("event_id", "user_id"))).otherwise(whole)
+    path = f"{scratch(k)}/topic"
+    last = e.agg(F.max("event_id")).first()[0] + 1
+    for b in range(batches):
+        part = e.where((F.col("event_id") * batches >= b * last) & (F.col("event_id") * batches < (b + 1) * last))
+        topics.produce(part, path, "events", "user_id", "event_id", value, files=_FILES)
+    return path
+
+
+def strict(records: DataFrame) -> DataFrame:
+    return topics.parsed(records, _JSON, ["event_id", "user_id", "event_type"], {"unknown_type": F.col("record.event_type") != "unheard_of"})
+
+
+def lenient(records: DataFrame) -> DataFrame:
+    """Metrics need no known type."""
+    return topics.parsed(records, _JSON, ["event_id", "user_id", "event_type"])
+
+
+_KINDS = "CASE event_id % 20 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_json' WHEN 2 THEN 'missing_field'"
+
+
+@query("", f"SELECT g AS consumer_group, coalesce(error_type, 'good') AS outcome, count(*) AS n, count(DISTINCT event_id) AS records FROM (SELECT 'bronze' AS g, event_id, {_KINDS} WHEN 3 THEN 'unknown_type' END AS error_type FROM events UNION ALL SELECT 'metrics', event_id, {_KINDS} END FROM events) GROUP BY 1, 2")
+def stream_two_groups(k: Lake) -> DataFrame:
+    """Two consumer groups of one topic, each with its checkpoint, rows and dead letters: how each record ended in each group."""
+    at, path = scratch(k), topic(k)
+    out = None
+    for name, parse in (("bronze", strict), ("metrics", lenient)):
+        group = topics.Group(k.spark, path, f"{at}/{name}", name)
+        group.consume(parse)
+        rows = group.rows(_JSON).select(F.lit(name).alias("consumer_group"), F.lit("good").alias("outcome"), "offset")
+        both = rows.union(group.dead().select("consumer_group", "error_type", "offset"))
+        out = both if out is None else out.union(both)
+    return out.groupBy("consumer_group", "outcome").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("records"))
+
+
+@query("", f"SELECT {_KINDS} WHEN 3 THEN 'unknown_type' END AS error_type, 'bronze' AS consumer_group, 'events' AS topic, event_id AS \"offset\" FROM events WHERE event_id % 20 < 4")
+def stream_dead_letters(k: Lake) -> DataFrame:
+    """The envelopes of one group."""
+    group = topics.Group(k.spark, topic(k), scratch(k), "bronze")
+    group.consume(strict)
+    return group.dead().select("error_type", "consumer_group", "topic", "offset")
+
+
+@query("", "WITH b AS (SELECT floor(event_id * 4 / (SELECT max(event_id) + 1 FROM events))::BIGINT AS epoch, count(*) AS n FROM events GROUP BY 1) SELECT 'events' AS topic, epoch, (sum(n) OVER (ORDER BY epoch))::BIGINT AS current_offset, (SELECT count(*) FROM events) AS log_end_offset, ((SELECT count(*) FROM events) - sum(n) OVER (ORDER BY epoch))::BIGINT AS lag FROM b")
 def stream_lag(k: Lake) -> DataFrame:
-    """What a finished consumer has left to read."""
-    at = scratch(k)
-    consumed = flows.run_to_files(events_stream(k).select("event_id"), f"{at}/out", f"{at}/checkpoint").agg(F.count("*").alias("consumed"))
-    return k.raw("events").agg(F.count("*").alias("latest")).crossJoin(F.broadcast(consumed)).select(F.lit("events").alias("source"), "latest", "consumed", (F.col("latest") - F.col("consumed")).alias("lag"))
+    """The lag series of a group that reads a batch of the topic at a time, from what it wrote after each; added over partitions."""
+    group = topics.Group(k.spark, topic(k, batches=4), scratch(k), "bronze")
+    group.consume(strict, max_files=_FILES)
+    return group.lag().groupBy("topic", "epoch").agg(*[F.sum(c).alias(c) for c in ("current_offset", "log_end_offset", "lag")])
+
+
+@query("e", "WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, event_ts) AS window_start, event_type, count(*) AS value FROM e GROUP BY 1, 2) SELECT window_start, 'events_by_type' AS metric, event_type AS dimension, value, window_start + INTERVAL 1 DAY <= (SELECT max(window_start) FROM w) - INTERVAL 1 DAY AS is_closed FROM w")
+def stream_closed_windows(k: Lake) -> DataFrame:
+    """Daily counts with whether their window is over: state and timers, closed a day and a window after its end."""
+    rows = events_stream(k).select("ts", F.lit("events_by_type").alias("metric"), F.col("event_type").alias("dimension"))
+    return closing.run(rows, scratch(k), "1 day", "1 day").select("window_start", "metric", "dimension", "value", "is_closed")
 
 
 # -- dashboards -------------------------------------------------------------------

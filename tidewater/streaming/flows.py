@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.streaming import avro
 
@@ -95,9 +95,11 @@ def epoch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def finish(query: StreamingQuery, seconds: int = 300) -> None:
-    """Wait for a run over what is there now; raise what stopped it."""
-    if not query.awaitTermination(seconds):
+def finish(query: StreamingQuery, seconds: float | None = None) -> None:
+    """Wait for a run over what is there now, however long it takes unless ``seconds`` limits it; raise what stopped it."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"the stream took over {seconds} s")
     if query.exception():
@@ -125,30 +127,6 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Lag(StreamingQueryListener):
-    """Keeps (query, batch, rows, seconds) of every progress report; ``over`` tells whether a query's last batch is above a ceiling."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int, float]] = []
-
-    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
-        pass
-
-    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
-        p = event.progress
-        self.rows.append((p.name or str(p.id), p.batchId, p.numInputRows, (p.durationMs or {}).get("triggerExecution", 0) / 1000))
-
-    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
-        pass
-
-    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
-        pass
-
-    def over(self, ceiling: int) -> bool:
-        last: dict[str, int] = {name: rows for name, _, rows, _ in self.rows}
-        return any(n > ceiling for n in last.values())
-
-
 def offsets_lag(progress: dict) -> list[tuple[str, int]]:
     """(source, records behind) from a progress report's latest and end offsets."""
     out = []
