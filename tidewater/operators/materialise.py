@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -27,3 +30,37 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def replace_partitions(df: DataFrame, path: str, column: str, touched: Iterable[object]) -> None:
+    """The partitions ``touched`` of the table at ``path`` become ``df``, others stay; those of which ``df`` has no row go.
+
+    One dynamic partition overwrite; ``df`` may read the table itself. Small
+    partitions share a task, large ones are split among several.
+    """
+    held = {r[0] for r in df.select(column).distinct().collect()}  # as many as partitions
+    df.hint("rebalance", F.col(column)).write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    forget(df.sparkSession, *(f"{path}/{column}={v}" for v in set(touched) - held))
+
+
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files under ``paths``: names, lengths and times of change; equal as long as nothing was written."""
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def once(spark: SparkSession, name: str, inputs: Iterable[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written once for the application and read from then on, until a file of ``inputs`` changes."""
+    base = scratch(spark, "x").rpartition("/")[0]
+    path = f"{base}/{name}-{spark.sparkContext.applicationId}-{state_of(spark, *inputs)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -14,20 +14,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.materialise import written
+
 #: Stand-ins for infinite timestamps, which Spark has not.
 FIRST, LAST = "1900-01-01 00:00:00", "9999-12-31 00:00:00"
 
 
+#: A key with more than a task's share over PIECES is cut by time into CUTS pieces.
+PIECES, CUTS = 8, 256
+
+
 def as_of(fact: DataFrame, versions: DataFrame, keys: Sequence[tuple[str, str]], ts: str, how: str = "left", valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:
     """Each fact row with the version valid at its ``ts``: equal keys, valid_from <= ts < valid_to.
 
-    The equal keys make it a hash or merge join with a residual range test;
-    versions of a key must not overlap, then no row multiplies.
+    Facts and versions lie in one line a key, by time, and the last version is
+    carried over the facts after it: work is linear in both, however many
+    versions a key has. A key that holds much of the facts is cut by time into
+    pieces, which other tasks take; versions that reach into several pieces are
+    carried into each. Facts with a null key or time find nothing. Versions of a
+    key must not overlap.
     """
-    cond = (fact[ts] >= versions[valid_from]) & (fact[ts] < versions[valid_to])
-    for a, b in keys:
-        cond = cond & (fact[a] == versions[b])
-    return fact.join(versions, cond, how)
+    names = [f"_k{i}" for i in range(len(keys))]
+    row = fact.select(*[F.col(a).alias(n) for n, (a, _) in zip(names, keys, strict=True)], F.col(ts).cast("timestamp").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("_row"))
+    span = versions.select(*[F.col(b).cast(row.schema[n].dataType).alias(n) for n, (_, b) in zip(names, keys, strict=True)], F.col(valid_from).cast("timestamp").alias("_t"), F.col(valid_to).cast("timestamp").alias("_end"), F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("_ver"))
+    cuts = hot_cuts(row, names)
+    if cuts is None:
+        row, span = row.withColumn("_piece", F.lit(0)), span.withColumn("_piece", F.lit(0))
+    else:
+        before, upto = (lambda c: F.size(F.filter("_cuts", lambda b: b < c))), (lambda c: F.size(F.filter("_cuts", lambda b: b <= c)))
+        among = before(F.col("_t")) + F.pmod(F.xxhash64("_row"), upto(F.col("_t")) - before(F.col("_t")) + 1).cast("int")
+        cut = lambda df: df.join(F.broadcast(cuts), names, "left")
+        row = cut(row).withColumn("_piece", F.when(F.col("_cuts").isNotNull() & F.col("_t").isNotNull(), among).otherwise(0)).drop("_cuts")
+        reach = F.when(F.col("_cuts").isNotNull(), F.sequence(before(F.col("_t")), upto(F.col("_end")))).otherwise(F.array(F.lit(0)))
+        span = cut(span).withColumn("_piece", F.explode(reach)).drop("_cuts")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    line = row.select(*names, "_piece", "_t", none(span, "_end"), none(span, "_ver"), "_row").union(span.where(F.col("_t").isNotNull()).select(*names, "_piece", "_t", "_end", "_ver", none(row, "_row")))
+    # at one instant versions come first, the one that stays last among them
+    w = Window.partitionBy(*names, "_piece").orderBy("_t", F.col("_row").isNotNull(), "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.last(F.when(F.col("_ver").isNotNull(), F.struct("_end", "_ver")), ignorenulls=True).over(w)
+    got = line.withColumn("_held", held).where(F.col("_row").isNotNull())
+    known = F.col("_t").isNotNull()
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    got = got.withColumn("_ver", F.when(known & (F.col("_t") < F.col("_held._end")), F.col("_held._ver")))
+    if how == "inner":
+        got = got.where(F.col("_ver").isNotNull())
+    return got.select("_row.*", "_ver.*")
+
+
+def hot_cuts(row: DataFrame, names: list[str]) -> DataFrame | None:
+    """``(*names, _cuts)`` for keys that hold more than ``1 / (PIECES * tasks)`` of the rows, so fewer than that many: times that cut them evenly. None if no key does."""
+    tasks = max(8, int(row.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = written(row.groupBy(*names).agg(F.count("*").alias("n")), "key_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * PIECES * tasks > total).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).where("n > 1000").select(*names)
+    if hot.isEmpty():
+        return None
+    inside = row.select(*names, "_t").join(F.broadcast(hot), names)
+    at = F.percentile_approx(F.col("_t").cast("double"), F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]))
+    return written(inside.groupBy(*names).agg(at.alias("q")).select(*names, F.transform("q", lambda x: x.cast("timestamp")).alias("_cuts")), "cuts")
 
 
 def point_in_time(current: DataFrame, log: DataFrame, at: Column, key: str, fields: Sequence[str], signup: str) -> DataFrame:

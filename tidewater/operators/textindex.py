@@ -28,7 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tidewater.functions.analyse import lexemes
 from tidewater.operators import retrieval
-from tidewater.operators.materialise import forget, written
+from tidewater.operators.materialise import forget, replace_partitions, written
 
 #: Rows of (query, lexeme) that are broadcast at most; beyond, both sides are shuffled.
 FEW = 1_000_000
@@ -122,12 +122,7 @@ class TextIndex:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
     def _replace(self, df: DataFrame, name: str, touched: list[int]) -> None:
-        """The partitions ``touched`` become ``df``, others stay; those that got no row go."""
-        held = {r[0] for r in df.select("bucket").distinct().collect()}  # `buckets` at most
-        # small partitions share a task, those of lexemes that all chunks hold are split
-        df.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
-        for b in set(touched) - held:
-            forget(self.spark, f"{self.path}/{name}/bucket={b}")
+        replace_partitions(df, f"{self.path}/{name}", "bucket", touched)
 
     def _terms(self, rows: DataFrame, content: str) -> DataFrame:
         return retrieval.terms(rows, "id", content, self.stemmed).withColumn("bucket", self._bucket("lexeme"))

@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalar as S
 from tidewater.operators import quality as Q
 from tidewater.operators import scd2
+from tidewater.operators.materialise import once, scratch
+from tidewater.operators.snapshots import Snapshots
 from tidewater.plans.base import Lake, query
 
 END = "2002-01-01 00:00:00"
 
 
 def dim_customer_frame(k: Lake) -> DataFrame:
-    opened = scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(END)))
-    d = scd2.close_versions(opened, "customer_id", "opened_at")
-    return d.select(S.surrogate_key(F.col("customer_id"), F.col("version")).alias("customer_key"), "customer_id", "loyalty_tier", "segment", "version", "valid_from", "valid_to", "is_current", "is_tombstone")
+    """The customer dimension, written once for all facts and marts that read it."""
+
+    def build() -> DataFrame:
+        opened = scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(END)))
+        d = scd2.close_versions(opened, "customer_id", "opened_at")
+        return d.select(S.surrogate_key(F.col("customer_id"), F.col("version")).alias("customer_key"), "customer_id", "loyalty_tier", "segment", "version", "valid_from", "valid_to", "is_current", "is_tombstone")
+
+    return once(k.spark, "dim_customer", [f"{k.folder}/{t}.parquet" for t in ("orders", "customer")], build)
 
 
 def lines_with_products(k: Lake) -> DataFrame:
@@ -99,6 +106,30 @@ def scd2_tombstone(k: Lake) -> DataFrame:
     return dim_customer_frame(k).where("is_tombstone").select("customer_id", "version", "valid_from", "is_current")
 
 
+_AT = ("1995-06-30", "1997-06-30", "1998-06-30", "2002-01-01")
+
+
+@query(
+    "c log",
+    f"""WITH i AS (SELECT unnest([{", ".join(f"TIMESTAMP '{t}'" for t in _AT)}]) AS moment),
+    s AS (SELECT c.customer_id, i.moment, c.segment, coalesce(
+        (SELECT arg_max(new_value, (changed_at, seq)) FROM log g WHERE g.customer_id = c.customer_id AND field = 'loyalty_tier' AND changed_at <= i.moment),
+        (SELECT arg_min(old_value, (changed_at, seq)) FROM log g WHERE g.customer_id = c.customer_id AND field = 'loyalty_tier' AND changed_at > i.moment), loyalty_tier) AS tier,
+        coalesce((SELECT bool_or(changed_at <= i.moment) FROM log g WHERE g.customer_id = c.customer_id AND field = 'is_deleted'), false) AS gone
+      FROM c, i WHERE signup_date <= i.moment::DATE),
+    live AS (SELECT customer_id, moment, gone, segment, last_value(CASE WHEN NOT gone THEN tier END IGNORE NULLS) OVER w AS tier, max(CASE WHEN NOT gone THEN 1 END) OVER w AS seen FROM s WINDOW w AS (PARTITION BY customer_id ORDER BY moment)),
+    moved AS (SELECT * FROM (SELECT *, lag(moment) OVER w AS b, lag(tier) OVER w AS bt, lag(gone) OVER w AS bg FROM live WHERE seen = 1 WINDOW w AS (PARTITION BY customer_id ORDER BY moment)) WHERE b IS NULL OR bt <> tier OR bg <> gone)
+    SELECT customer_id, tier AS loyalty_tier, row_number() OVER w AS version, CASE WHEN row_number() OVER w = 1 THEN TIMESTAMP '1900-01-01' ELSE moment END AS valid_from, coalesce(lead(moment) OVER w, TIMESTAMP '9999-12-31') AS valid_to, lead(moment) OVER w IS NULL AS is_current, gone AS is_tombstone FROM moved WINDOW w AS (PARTITION BY customer_id ORDER BY moment)""",
+)
+def scd2_snapshots(k: Lake) -> DataFrame:
+    """Snapshots of four days merged one by one into the written dimension."""
+    store = Snapshots(k.spark, scratch(k.spark, "snapshots"), "customer_id", ["loyalty_tier", "segment"])
+    for day in _AT:
+        at = F.to_timestamp(F.lit(day))
+        store.take(scd2.point_in_time(k.customers, k.change_log, at, "customer_id", ["loyalty_tier", "is_deleted"], "signup_date"), at, F.col("is_deleted") == "true")
+    return store.versions().select("customer_id", "loyalty_tier", "version", "valid_from", "valid_to", "is_current", "is_tombstone")
+
+
 # -- dimensions -------------------------------------------------------------------
 
 
