@@ -12,10 +12,11 @@ the best beginning of a run hangs on its length (an odd sign joined to the mark
 in front of it), its paths do not meet before its end; the window then holds
 two numbers for each character of that run, since nothing less can be right.
 
-A boundary that no piece spans is such a meeting for certain: in the
-vocabularies served here a word mark is never inside a piece but for runs of
-marks. Stretches between those recur, so what the search gave for short ones is
-kept in a bounded memo.
+A boundary that no piece spans is such a meeting for certain. In most
+vocabularies that is so before a word mark that another character precedes;
+stretches between those recur, so what the search gave for short ones is kept in
+a bounded memo. Whether it is so is looked up in the pieces: where one has a mark
+after another character, texts are not cut at marks.
 
 Scores are the vocabulary's own. Characters outside it cost ten less than the
 lowest score and decompose into byte pieces, which have no other use; so does
@@ -76,13 +77,17 @@ class Pieces:
     trie: dict = field(default_factory=dict)
     inside: set[tuple[str, str]] = field(default_factory=set)
     newline_inside: bool = False
+    mark_inside: bool = False
     keep: int = MEMO
+    digest: str = ""
 
     def __post_init__(self) -> None:
         """The trie maps a character to (score of the piece that ends here or None, children)."""
         self.memo = Memo(self)
         self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.newline_inside = any("\n" in pair for pair in self.inside)
+        self.mark_inside = any(b == MARK != a for a, b in self.inside)
+        self.digest = self.digest or md5(repr((sorted(self.ids.items()), sorted(self.score.items()), self.byte_ids)).encode()).hexdigest()
         for piece, score in sorted(self.score.items()):
             children = self.trie
             for c in piece[:-1]:
@@ -111,7 +116,7 @@ class Pieces:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        key = (len(self.ids), self.longest, self.unknown, self.keep)
+        key = (self.digest, self.keep)
         if key not in _LOADED:
             self.__post_init__()
             _LOADED[key] = self
@@ -232,13 +237,15 @@ def encode(text: str | None, v: Pieces) -> list[int]:
     for i, part in enumerate(text.split(MARK)):
         if i:  # the mark itself, which the vocabulary takes for a space
             out += [v.byte_ids[b] for b in MARK.encode()]
-        for j, block in enumerate(blocks(part)):
+        for j, block in enumerate([part] if v.mark_inside else blocks(part)):
             out += _encode_block(block, v, not i and not j)
     return out
 
 
 def _encode_block(text: str, v: Pieces, first: bool) -> list[int]:
     marked = MARK * first + text.replace(" ", MARK)
+    if v.mark_inside:
+        return list(segment_ids(marked, v))
     # A mark between two other characters starts a segment; runs of marks stay together.
     apart = marked.replace(MARK, " " + MARK)
     while f"{MARK} {MARK}" in apart:
