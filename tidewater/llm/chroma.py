@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import cut, fields, salted_join, small_batches
 
 RATE = 4000
+#: Sampling rates that are taken for sound; what a broken header claims beyond would ask for any amount of memory.
+RATES = (1000, 768_000)
 FRAME, HOP = 1024, 512
 LOW_HZ, HIGH_HZ = 100.0, 1800.0
 WIDEST = 8
@@ -39,11 +41,15 @@ MAX_BIT_ERROR = 0.25
 
 
 def decode_wav(data: bytes | None) -> np.ndarray:
-    """Mono samples in -1 to 1 of a PCM WAV file of 8, 16, 24 or 32 bits, at ``RATE`` by linear interpolation; null, empty, broken files and other codings: none."""
+    """Mono samples in -1 to 1 of a PCM WAV file of 8, 16, 24 or 32 bits, at ``RATE`` by linear interpolation; null, empty, broken files, other codings and rates outside ``RATES``: none."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
-            raw, rate, width, channels = w.readframes(w.getnframes()), w.getframerate(), w.getsampwidth(), w.getnchannels()
-    except (wave.Error, EOFError):
+            rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+            # no more frames than the file has bytes for, whatever its header says
+            raw = w.readframes(min(w.getnframes(), len(data) // (width * channels)))
+    except (wave.Error, EOFError, RuntimeError, ValueError, ArithmeticError):  # what broken headers raise
+        return np.zeros(0)
+    if width > 4 or not RATES[0] <= rate <= RATES[1]:
         return np.zeros(0)
     raw = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], np.uint8).reshape(-1, width)
     if width == 1:
@@ -53,7 +59,7 @@ def decode_wav(data: bytes | None) -> np.ndarray:
         wide[:, 4 - width :] = raw
         x = wide.view("<i4")[:, 0] / 2.0**31
     x = x.reshape(-1, channels).mean(1) if len(x) else x
-    return x if rate == RATE or rate <= 0 or not len(x) else np.interp(np.arange(int(len(x) * RATE / rate)) * rate / RATE, np.arange(len(x)), x)
+    return x if rate == RATE or not len(x) else np.interp(np.arange(int(len(x) * RATE / rate)) * rate / RATE, np.arange(len(x)), x)
 
 
 def encode_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
