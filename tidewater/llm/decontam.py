@@ -8,9 +8,12 @@
 2. Windows as long as an item, in words, start at every seed after which enough
    others follow. Any other window does no better than the one at its first seed:
    moving it there drops what isn't shared and takes in more at its end.
-3. Their SimHash (64 bits, each shingle as often as it occurs) meets those of all
-   items of that length by multi-index Hamming blocks: with ``RADIUS`` + 1
-   blocks, two fingerprints within the radius agree in one at least.
+3. Their SimHash (64 bits, each shingle as often as it occurs) meets those of the
+   items whose seeds they start at by multi-index Hamming blocks: with ``RADIUS``
+   + 1 blocks, two fingerprints within the radius agree in one at least. The
+   blocks are joined within an item, so candidates are no more than the seeded
+   starts; blocks of two and three bits alone would pair nearly all windows with
+   nearly all items of their length.
 4. Candidates are verified by exact weighted-shingle similarity, the weight of a
    shingle being its count: shared weight over the item's weight.
 
@@ -76,6 +79,14 @@ def blocks(fp: str) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1)).alias("bits")) for i in range(n)])
 
 
+def candidates(starts: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
+    """``(id, uid, len, start, distance)``: windows ``(id, len, start, fp)`` and items ``(uid, item_fp)`` that agree in a block, among the pairs of ``starts``."""
+    left = starts.select("id", "uid", "len", "start").join(windows.select("id", "len", "start", "fp"), ["id", "len", "start"]).select("*", F.inline(blocks("fp")))
+    right = items.select("uid", "item_fp", F.inline(blocks("item_fp")))
+    near = left.join(right, ["uid", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    return near.select("id", "uid", "len", "start", "distance")
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(id, item, similarity, distance)`` of every document and item with a window of the threshold or more; the best window counts.
 
@@ -103,17 +114,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     more = F.ceil(threshold * F.col("weight") - 1e-9).cast("int") - 1
     run = hits.join(able.select("id", "uid"), ["id", "uid"]).groupBy("id", "uid", "k", "len", "weight").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     enough = F.transform("at", lambda p, i: F.when(F.get("at", i + more) - p < F.col("weight"), p))
-    starts = run.select("id", "k", "len", F.explode(enough).alias("start")).where(F.col("start").isNotNull()).distinct()
+    starts = cut(run.select("id", "uid", "k", "len", F.explode(enough).alias("start")).where(F.col("start").isNotNull()), "starts")
     texts = src.join(able.select("id").distinct(), "id", "left_semi").distinct()
-    window = starts.join(texts, "id").select("id", "k", "len", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("part"))
+    window = starts.select("id", "k", "len", "start").distinct().join(texts, "id").select("id", "k", "len", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("part"))
     window = window.withColumnRenamed("k", "own")
     parts = shingles_of_lengths(window, "part", lengths, "id", "own", "len", "start").where("k = own").drop("own")
     parts = parts.groupBy("id", "k", "len", "start", "h").agg(F.count("*").alias("times"))
     of_window = parts.groupBy("id", "k", "len", "start").agg(simhash().alias("fp"))
     of_item = weights.withColumnRenamed("item_times", "times").groupBy("uid", "len").agg(simhash().alias("item_fp"))
-    left = of_window.select("*", F.inline(blocks("fp")))
-    right = of_item.select("*", F.inline(blocks("item_fp")))
-    near = left.join(right, ["len", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
+    near = candidates(starts, of_window, of_item).where(F.col("distance") <= RADIUS)
     near = near.groupBy("id", "uid", "len", "start").agg(F.min("distance").alias("distance"))
     shared = parts.join(weights.select("uid", "k", "len", "h", "item_times", "weight"), ["k", "len", "h"]).join(near, ["id", "uid", "len", "start"])
     sims = shared.groupBy("id", "uid", "start", "weight", "distance").agg(F.sum(F.least("times", "item_times")).alias("both"))
@@ -123,6 +132,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a match; rows with a null id stay."""
-    leaked = matches(docs, items, id_col, text_col).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(leaked, id_col, "left_anti").select(*docs.columns)
+    """``docs`` without those that hold a match; of rows with a null id each is judged by its own text."""
+    key = F.when(F.col(id_col).isNull(), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))).otherwise(F.concat(F.lit("id:"), F.col(id_col).cast("string")))
+    known = docs.select(key.alias("__leak_key"), F.col(text_col).alias("_text"))
+    leaked = matches(known, items, "__leak_key", "_text").select(F.col("id").alias("__leak_key")).distinct()
+    return docs.withColumn("__leak_key", key).join(leaked, "__leak_key", "left_anti").select(*docs.columns)
