@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import analyse, masking
 from tidewater.functions.scalar import identifiers
+from tidewater.operators import relevance
 from tidewater.operators import retrieval as R
-from tidewater.operators.materialise import scratch
+from tidewater.operators.materialise import scratch, written
 from tidewater.operators.textindex import TextIndex
 from tidewater.operators.vectorindex import VectorIndex, exact_search
 from tidewater.plans.base import Lake, query
@@ -49,9 +50,10 @@ def vector(k: Lake, pool: int) -> DataFrame:
 
 
 def relevant(k: Lake) -> DataFrame:
-    """Documents that hold a question's passage word for word; the questions are few and sent to all tasks."""
-    d, b = k.raw("documents").select(F.col("doc_id").alias("id"), "text"), k.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return d.join(F.broadcast(b), F.expr("contains(text, passage)")).select("query_id", "id")
+    """Documents that hold a question's passage word for word."""
+    questions = k.raw("benchmark").select(F.col("item_id").alias("query_id"), F.lit(None).cast("array<string>").alias("intents"), F.array("text").alias("needles"))
+    docs = k.raw("documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("intent"))
+    return relevance.relevant(docs, questions, fold=False)
 
 
 @query("", f"SELECT doc_id, regexp_replace(regexp_replace(text, '[\\w\\.\\-\\+]+@[\\w\\-]+\\.\\w{{2,}}', '[EMAIL]', 'g'), '\\+?\\d{{1,3}}[-\\s]?\\(?\\d{{2,4}}\\)?[-\\s]?\\d{{3,4}}[-\\s]?\\d{{3,4}}', '[PHONE]', 'g') AS masked FROM documents")
@@ -122,6 +124,49 @@ def eval_chance(k: Lake) -> DataFrame:
     return R.chance(relevant(k), k.raw("documents").count())
 
 
+@query(
+    "",
+    """WITH q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN ['en', 'fr'] WHEN 1 THEN ['en'] END AS intents, list_filter([lower(text[3:30]), lower(text[length(text) - 19:]), CASE WHEN item_id % 2 = 0 THEN 'th' END], lambda x: x IS NOT NULL) AS needles FROM benchmark)
+    SELECT query_id, doc_id AS id FROM q, documents d WHERE d.text IS NOT NULL AND (intents IS NULL OR list_contains(intents, lang)) AND len(list_filter(needles, lambda n: NOT contains(lower(d.text), n))) = 0""",
+)
+def eval_relevance(k: Lake) -> DataFrame:
+    """Relevance by label and by all of several needles, parts of words among them."""
+    i, t = F.col("item_id"), F.col("text")
+    intents = F.when(i % 3 == 0, F.array(F.lit("en"), F.lit("fr"))).when(i % 3 == 1, F.array(F.lit("en")))
+    needles = F.array(F.substring(t, 3, 28), F.right(t, F.lit(20)), F.when(i % 2 == 0, F.lit("th")))
+    questions = k.raw("benchmark").select(i.alias("query_id"), intents.alias("intents"), needles.alias("needles"))
+    return relevance.relevant(k.raw("documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("intent")), questions)
+
+
+_STRATEGIES = {"lexical": ((1.0, 0.0), "lexical"), "vector": ((0.0, 1.0), "vector"), "hybrid": ((1.0, 1.0), None)}
+
+
+@query(
+    "",
+    f"""WITH {_DOCS}, {_IX}, {_Q}, {_BM25.format(50)}, {_VEC.format(50)}, {_REL},
+    fz AS (SELECT coalesce(bm.query_id, vp.query_id) AS query_id, coalesce(bm.id, vp.id) AS id, bm.rank AS lex_rank, vp.rank AS vec_rank, vp.score AS similarity FROM bm FULL JOIN vp ON bm.query_id = vp.query_id AND bm.id = vp.id),
+    s(strategy, wl, wv) AS (VALUES ('lexical', 1.0::DOUBLE, 0.0::DOUBLE), ('vector', 0.0::DOUBLE, 1.0::DOUBLE), ('hybrid', 1.0::DOUBLE, 1.0::DOUBLE)),
+    fs AS (SELECT strategy, query_id, id, similarity, round(coalesce(wl / (60 + lex_rank), 0) + coalesce(wv / (60 + vec_rank), 0), 9) AS score FROM fz, s WHERE strategy = 'hybrid' OR strategy = 'lexical' AND lex_rank IS NOT NULL OR strategy = 'vector' AND vec_rank IS NOT NULL),
+    fu AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, id) AS rank FROM fs QUALIFY rank <= 5),
+    qs AS (SELECT strategy, item_id AS query_id, item_id IN (SELECT query_id FROM rel) AS yes FROM benchmark, s),
+    per AS (SELECT qs.strategy, qs.query_id, yes, coalesce(max(similarity), -1) AS top, count(fu.id) AS n, count(rel.id) AS hits, min(rank) FILTER (rel.id IS NOT NULL) AS first FROM qs LEFT JOIN fu ON fu.strategy = qs.strategy AND fu.query_id = qs.query_id LEFT JOIN rel ON rel.query_id = fu.query_id AND rel.id = fu.id GROUP BY 1, 2, 3)
+    SELECT strategy, count(*) FILTER (yes) AS answerable, round(coalesce(avg((hits > 0)::INT::DOUBLE) FILTER (yes), 0), 6) AS recall, round(coalesce(avg(hits / greatest(n, 1)::DOUBLE) FILTER (yes), 0), 6) AS precision,
+      round(coalesce(avg(coalesce(1.0::DOUBLE / first, 0)) FILTER (yes), 0), 6) AS mrr, CASE WHEN max(top) FILTER (NOT yes) > -1 THEN round(avg((top < 0.68)::INT::DOUBLE) FILTER (NOT yes), 6) END AS abstention_accuracy,
+      count(*) FILTER (yes AND top < 0.68) AS false_abstentions, coalesce(min(top) FILTER (yes), 0) AS lowest_answerable, coalesce(max(top) FILTER (NOT yes), 0) AS highest_unanswerable, round(coalesce(min(top) FILTER (yes), 0) - coalesce(max(top) FILTER (NOT yes), 0), 6) AS separation
+    FROM per GROUP BY 1""",
+)
+def eval_measures(k: Lake) -> DataFrame:
+    """The six measures of each strategy; a question expects an answer if some document holds its passage."""
+    lex, vec, rel = (written(df, n) for df, n in ((lexical(k, 50), "lexical"), (vector(k, 50), "vector"), (relevant(k), "relevant")))
+    ranked = None
+    for name, (weights, require) in _STRATEGIES.items():
+        got = R.fuse(lex, vec, 5, weights, require).select(F.lit(name).alias("strategy"), "query_id", "id", "rank", "similarity")
+        ranked = got if ranked is None else ranked.unionByName(got)
+    asked = k.raw("benchmark").select(F.col("item_id").alias("query_id")).distinct().join(rel.select("query_id", F.lit(True).alias("yes")).distinct(), "query_id", "left")
+    asked = asked.select(F.explode(F.array(*map(F.lit, _STRATEGIES))).alias("strategy"), "query_id", F.coalesce("yes", F.lit(False)).alias("expects_answer"))
+    return relevance.measures(ranked, rel, asked)
+
+
 _QUESTION = "licensed under the apache license idiot worthless for threads"
 
 
