@@ -86,3 +86,26 @@ def test_avro_corruptions(spoil, kind):
 def test_avro_numbers_and_text(n, text):
     row = EVENT | {"event_ts": n, "event_id": text.encode("utf-8", "ignore").decode()}
     assert avro.decode(avro.WEB_EVENT, avro.encode(avro.WEB_EVENT, row)) == row
+
+
+@pytest.mark.parametrize("term, text, want", [
+    ("İpek", "İpek called", "[CUSTOMER_NAME] called"),
+    ("İpek", "dear i̇pek,", "dear [CUSTOMER_NAME],"),
+    ("i̇pek", "İPEK!", "[CUSTOMER_NAME]!"),
+    ("Straße", "STRASSE and strasse, Strassen", "[CUSTOMER_NAME] and [CUSTOMER_NAME], Strassen"),
+    ("strass", "Straß Straße", "[CUSTOMER_NAME] Straße"),
+    ("stras", "straß", "straß"),  # half a sign is no match
+    ("Ann", "İ Ann İAnn annİ ann", "İ [CUSTOMER_NAME] İAnn annİ [CUSTOMER_NAME]"),
+    ("ﬁn", "FIN ﬁn", "[CUSTOMER_NAME] [CUSTOMER_NAME]"),
+])
+def test_terms_whose_case_changes_their_length(term, text, want):
+    masker = Masker({"name": [term]})
+    masked, counts = masker.mask(text)
+    assert masked == want and counts["name"] == want.count("[CUSTOMER_NAME]")
+    if "CUSTOMER" in want and "Straß" not in text and "Strassen" not in text and "İAnn" not in text:
+        assert masker.leaks(masked) == []
+
+
+def test_patterns_count_each_match():
+    masked, counts = Masker({"email": ["a@b.io"]}).mask("a@b.io, c@d.org; +49 170 123 4567 \\g<0>")
+    assert masked == "[EMAIL], [EMAIL]; [PHONE] \\g<0>" and counts == {"email": 2, "phone": 1, "name": 0}

@@ -22,36 +22,48 @@ def in_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def folded(text: str) -> tuple[str, list[int] | None]:
+    """A text case-folded, and the sign of the text that each folded character is of; None where they are one to one."""
+    whole = text.casefold()
+    if len(whole) == len(text):
+        return whole, None
+    signs = [c.casefold() for c in text]
+    return "".join(signs), [i for i, s in enumerate(signs) for _ in s]
+
+
 class Terms:
-    """Known terms as a tree of characters, so that a text is read once however many terms there are."""
+    """Known terms as a tree of case-folded characters, so that a text is read once however many terms there are."""
 
     def __init__(self, terms: list[str]) -> None:
         self.root: dict = {}
         for term in terms:
             if term.strip():
                 node = self.root
-                for c in term.lower():
+                for c in term.casefold():
                     node = node.setdefault(c, {})
                 node[""] = True
 
     def replaced(self, text: str, label: str) -> tuple[str, int]:
         """``text`` with the longest term at each place that isn't inside a word replaced, whatever its case; how many were."""
-        low = [c.lower() for c in text]
+        low, sign = folded(text)
+        at = (lambda i: sign[i] if i < len(low) else len(text)) if sign else (lambda i: i)
         out, done, i, n = [], 0, 0, 0
-        while i < len(text):
+        while i < len(low):
             node, end = self.root.get(low[i]), -1
-            if node is not None and (i == 0 or not in_word(text[i - 1])):
+            begin = at(i)
+            # a term begins and ends with whole signs of the text
+            if node is not None and (begin == 0 or not in_word(text[begin - 1])) and (i == 0 or at(i - 1) != begin):
                 j = i + 1
                 while node is not None:
-                    if "" in node and (j == len(text) or not in_word(text[j])):
+                    if "" in node and at(j) != at(j - 1) and (at(j) == len(text) or not in_word(text[at(j)])):
                         end = j
-                    node = node.get(low[j]) if j < len(text) else None
+                    node = node.get(low[j]) if j < len(low) else None
                     j += 1
             if end < 0:
                 i += 1
                 continue
-            out += [text[done:i], label]
-            done = i = end
+            out += [text[done:begin], label]
+            done, i = at(end), end
             n += 1
         return "".join([*out, text[done:]]), n
 
@@ -77,9 +89,8 @@ class Masker:
         for kind, label in LABELS.items() if text else ():
             text, counts[kind] = self.known[kind].replaced(text, label)
             if kind in self.shapes:
-                parts = self.shapes[kind].split(text)  # the shapes hold no groups
-                counts[kind] += len(parts) - 1
-                text = label.join(parts)
+                text, found = self.shapes[kind].subn(label, text)
+                counts[kind] += found
         return text, counts
 
     def leaks(self, text: str | None) -> list[str]:
