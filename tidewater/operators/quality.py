@@ -41,6 +41,21 @@ def run(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
     return spark.createDataFrame(rows, RESULT)
 
 
+#: Offending rows that are kept of a failed check.
+SAMPLE = 20
+
+
+def samples(spark: SparkSession, failed: Sequence[Check], limit: int = SAMPLE) -> DataFrame | None:
+    """``(check, row)`` for checks that failed and can show their rows: ``limit`` of each as JSON; none: None."""
+    out = None
+    for c in failed:
+        if c.repro is not None:
+            rows = c.repro()
+            rows = rows.limit(limit).select(F.lit(c.name).alias("check"), F.to_json(F.struct(*rows.columns)).alias("row"))
+            out = rows if out is None else out.union(rows)
+    return out
+
+
 # What a run's exit code tells.
 EXIT_OK, EXIT_ERROR, EXIT_BLOCKED, EXIT_UPSTREAM = 0, 1, 2, 3
 

@@ -28,12 +28,20 @@ SQL: dict[str, str] = {}
 class Lake:
     """Typed frames of the tables of a folder."""
 
+    #: The instant of the last snapshot of the customers.
+    end = "2002-01-01 00:00:00"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def customer_inputs(self) -> list[str]:
+        """Files that the customers' history is made of."""
+        return [f"{self.folder}/{t}.parquet" for t in ("orders", "customer")]
+
     @cached_property
     def orders(self) -> DataFrame:
         o = self.raw("orders")

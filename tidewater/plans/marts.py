@@ -18,18 +18,16 @@ from tidewater.operators.materialise import once, scratch
 from tidewater.operators.snapshots import Snapshots
 from tidewater.plans.base import Lake, query
 
-END = "2002-01-01 00:00:00"
-
 
 def dim_customer_frame(k: Lake) -> DataFrame:
     """The customer dimension, written once for all facts and marts that read it."""
 
     def build() -> DataFrame:
-        opened = scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(END)))
+        opened = scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(k.end)))
         d = scd2.close_versions(opened, "customer_id", "opened_at")
         return d.select(S.surrogate_key(F.col("customer_id"), F.col("version")).alias("customer_key"), "customer_id", "loyalty_tier", "segment", "version", "valid_from", "valid_to", "is_current", "is_tombstone")
 
-    return once(k.spark, "dim_customer", [f"{k.folder}/{t}.parquet" for t in ("orders", "customer")], build)
+    return once(k.spark, f"dim_customer-{k.end[:10]}", k.customer_inputs, build)
 
 
 def lines_with_products(k: Lake) -> DataFrame:
@@ -81,7 +79,7 @@ def int_session_funnel(k: Lake) -> DataFrame:
 
 @query("ver", "SELECT customer_id, loyalty_tier, segment, opened_at, is_tombstone FROM ver")
 def scd2_versions(k: Lake) -> DataFrame:
-    return scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(END)))
+    return scd2.history(k.customers, k.change_log, F.to_timestamp(F.lit(k.end)))
 
 
 @query("c log", "SELECT c.customer_id, coalesce((SELECT arg_max(new_value, (changed_at, seq)) FROM log g WHERE g.customer_id = c.customer_id AND field = 'loyalty_tier' AND changed_at <= TIMESTAMP '1998-06-30'), (SELECT arg_min(old_value, (changed_at, seq)) FROM log g WHERE g.customer_id = c.customer_id AND field = 'loyalty_tier' AND changed_at > TIMESTAMP '1998-06-30'), loyalty_tier) AS loyalty_tier, segment FROM c WHERE signup_date <= DATE '1998-06-30'")

@@ -89,9 +89,9 @@ def append_log(spark: SparkSession, rows: Sequence[tuple], schema: str, path: st
 RUN_LOG = "run_id string, step string, status string, at timestamp, rows bigint, error string"
 
 
-def logged_run(spark: SparkSession, path: str, step: str, work: Callable[[], int], now: Callable[[], datetime]) -> str:
-    """Run a step between a RUNNING row and a SUCCESS or FAILED row; errors are logged and raised again."""
-    run_id = uuid.uuid4().hex
+def logged_run(spark: SparkSession, path: str, step: str, work: Callable[[], int], now: Callable[[], datetime], batch: str = "") -> str:
+    """Run a step between a RUNNING row and a SUCCESS or FAILED row; errors are logged and raised again. Run ids of a batch begin with its name."""
+    run_id = f"{batch}:{uuid.uuid4().hex}" if batch else uuid.uuid4().hex
     append_log(spark, [(run_id, step, "RUNNING", now(), None, None)], RUN_LOG, path)
     try:
         rows = work()
