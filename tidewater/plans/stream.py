@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from tidewater.functions import scalar as S
 from tidewater.operators import materialise, serving
 from tidewater.plans import marts
 from tidewater.plans.base import Lake, query
+from tidewater.plans.metrics import Metrics, consumer_lag
 from tidewater.streaming import avro, closing, flows, topics
 
 
@@ -214,3 +216,42 @@ def metric_recent_stream(k: Lake) -> DataFrame:
     now = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
     recent = (F.col("event_ts") > now - F.make_interval(hours=F.lit(48))) & (F.col("event_ts") <= now)
     return k.events.where(recent).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def metrics_over(k: Lake) -> Metrics:
+    """The readers over marts built from the tables; the events stand for the run log."""
+    log = k.events.select(F.col("event_id").cast("string").alias("step"), F.when(F.col("event_type") == "purchase", "SUCCESS").otherwise("FAILED").alias("status"), F.col("event_ts").alias("at"))
+    return Metrics(k.spark, scratch(k), lambda name: getattr(marts, name)(k), lambda: log)
+
+
+_DAILY = "SELECT order_ts::DATE AS date, channel, count(*) AS orders, coalesce(sum(amount) FILTER (recognised), 0)::DOUBLE AS revenue FROM o GROUP BY 1, 2"
+
+
+@query("o", f"SELECT date, channel, orders, revenue FROM ({_DAILY}) WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-02-28' AND channel = '1-URGENT'")
+def metric_daily_sales(k: Lake) -> DataFrame:
+    """Days of a year of one channel that had orders."""
+    got = metrics_over(k).daily_sales(date(1996, 3, 1), date(1997, 2, 28), "1-URGENT")
+    return got.where("orders > 0").select("date", "channel", "orders", "revenue")
+
+
+@query("o", "SELECT DISTINCT channel FROM o")
+def metric_channels(k: Lake) -> DataFrame:
+    return metrics_over(k).channels()
+
+
+@query("o", "WITH f AS (SELECT customer_id, date_trunc('month', min(order_ts))::DATE AS cohort FROM o WHERE recognised GROUP BY 1) SELECT cohort, datediff('month', cohort, date_trunc('month', order_ts)::DATE) AS months_since, count(DISTINCT customer_id) AS active FROM o JOIN f USING (customer_id) WHERE recognised GROUP BY 1, 2 HAVING months_since <= 6")
+def metric_cohort_retention(k: Lake) -> DataFrame:
+    return metrics_over(k).cohort_retention(6).select("cohort", "months_since", "active")
+
+
+@query("pay", "SELECT processed_ts::DATE AS date, payment_method, count(*) AS attempts FROM pay WHERE processed_ts::DATE BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' GROUP BY 1, 2")
+def metric_payment_health(k: Lake) -> DataFrame:
+    return metrics_over(k).payment_health(date(1996, 1, 1), date(1996, 6, 30)).select("date", "payment_method", "attempts")
+
+
+@query("", "SELECT 'bronze' AS consumer_group, 'events' AS topic, count(*) AS current_offset, count(*) AS log_end_offset, 0::BIGINT AS lag FROM events")
+def metric_consumer_lag(k: Lake) -> DataFrame:
+    """Where a group stands after it has read all, added over partitions."""
+    group = topics.Group(k.spark, topic(k), scratch(k), "bronze")
+    group.consume(strict)
+    return consumer_lag(group.lag()).groupBy("consumer_group", "topic").agg(*[F.sum(c).alias(c) for c in ("current_offset", "log_end_offset", "lag")])
