@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import pickle
 import random
+import time
 import wave
 
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.llm import chroma, decontam, viterbi
+from tidewater.llm import chroma, decontam, simhash, viterbi
 
 
 def vocabulary(pieces, first=0):
@@ -125,3 +126,55 @@ def test_rows_without_id_are_judged_by_their_text(spark):
     kept = decontam.decontaminate(docs, spark.createDataFrame([(7, passage)], "item_id long, text string"))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None) for r in kept.collect()) == [(False, 2, False), (True, 0, False), (True, 0, True)]
     assert kept.columns == docs.columns
+
+
+# -- sets of shingles -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [0, 32, 10**9])
+def test_sets_in_bulk_are_sets_one_by_one(monkeypatch, few):
+    """Links connect what pairs of similar sets connect, however they are counted; empty sets among them."""
+    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
+    rng = np.random.default_rng(few % 7)
+    base = [np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64)) for _ in range(12)]
+    sets = [np.zeros(0, np.uint64)] * 2
+    for i in range(300):
+        x = base[i % 12]
+        keep = x[rng.random(len(x)) > rng.choice([0.02, 0.1, 0.2])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64)])))
+    fps = np.array([simhash.fingerprint(x, simhash.WIDE) for x in sets])
+    order = np.argsort(np.bitwise_count(fps).sum(1), kind="stable")
+    sets, fps = [sets[i] for i in order], fps[order]
+    sizes = np.array([len(x) for x in sets])
+    found = simhash.links_in(np.zeros(len(sets), np.int64), fps, 256, tile=40, sizes=sizes, sets=sets)
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(i) for i in range(len(sets))]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.similar(sets[i], sets[j])]
+    assert groups(found) == groups(every) and len(set(groups(every))) < len(sets)
+    assert all(simhash.similar(sets[a], sets[b]) for a, b in found)
+
+
+def test_many_sets_that_are_nearly_similar_are_quick():
+    """2,000 sets pairwise 0.7 alike, two million pairs that fail: seconds."""
+    rng = np.random.default_rng(1)
+    core = np.unique(rng.integers(0, 1 << 50, 82).astype(np.uint64))
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 1 << 50, 17).astype(np.uint64)])) for _ in range(2000)]
+    fps = np.array([simhash.fingerprint(x, simhash.WIDE) for x in sets])
+    order = np.argsort(np.bitwise_count(fps).sum(1), kind="stable")
+    began = time.perf_counter()
+    found = simhash.links_in(np.zeros(len(sets), np.int64), fps[order], simhash.WIDE_RADIUS, sizes=np.full(2000, 99), sets=[sets[i] for i in order])
+    took = time.perf_counter() - began
+    print(f"{took:.1f} s")
+    assert found == [] and took < 20

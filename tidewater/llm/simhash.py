@@ -41,6 +41,8 @@ from tidewater.llm.shared import components, cut, fields, forget, salted_join, s
 
 SLICE = 1000
 TILE = 128
+#: Pairs of a tile whose sets are looked at one by one; more are counted together, so many shingles at a time (8 MB a side).
+FEW_PAIRS, COLUMNS = 32, 1 << 14
 #: Words of 64 bits of the fingerprints of shingle sets, and the distance beyond which two are no candidates: sets at 0.8
 #: differ in 38.8 bits on average (standard deviation 5.7; 48 and 6.2 for sets of four or five).
 WIDE, WIDE_RADIUS = 4, 72
@@ -111,6 +113,28 @@ def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
+def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """A row a set: which of the sorted ``columns`` it holds."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+    held = columns[at] == flat
+    out[row[held], at[held]] = 1
+    return out
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """``similar`` for all pairs of two lists of sets at once, from counts of what they share."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.int64)
+    for i in range(0, len(shared), COLUMNS):  # whole numbers below 2^24 are exact
+        columns = shared[i : i + COLUMNS]
+        both += (incidence(left, columns) @ incidence(right, columns).T).astype(np.int64)
+    n, m = (np.array([len(x) for x in sets]) for sets in (left, right))
+    return 5 * both >= 4 * (n[:, None] + m[None, :] - both)
+
+
 def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE, sizes: np.ndarray | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Index pairs of rows within the radius that together connect all such pairs of tiles that share a key.
 
@@ -140,11 +164,17 @@ def links_in(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = TILE, s
                 new &= fits(sizes[a:a1][:, None], sizes[b:b1][None, :])
             if a == b:
                 new = np.triu(new, 1)
+            if sets is not None and new.sum() > FEW_PAIRS:
+                i, j = (np.flatnonzero(new.any(axis)) for axis in (1, 0))
+                new[np.ix_(i, j)] &= alike([sets[a + x] for x in i], [sets[b + x] for x in j])
+                known = True
+            else:
+                known = sets is None
             while len(at := np.flatnonzero(new.any(1))):
                 i = int(at[0])
                 j = int(np.argmax(new[i]))
                 new[i, j] = False
-                if sets is not None and not similar(sets[a + i], sets[b + j]):
+                if not known and not similar(sets[a + i], sets[b + j]):
                     continue
                 out.append((a + i, b + j))
                 old, to = label[a + i], label[b + j]
