@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import math
 import pickle
 import random
 import time
 import wave
+import zlib
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.llm import chroma, decontam, simhash, viterbi
+from tidewater.llm import chroma, decontam, queries, simhash, toxicity, viterbi
 
 
 def vocabulary(pieces, first=0):
@@ -178,3 +180,46 @@ def test_many_sets_that_are_nearly_similar_are_quick():
     took = time.perf_counter() - began
     print(f"{took:.1f} s")
     assert found == [] and took < 20
+
+
+# -- toxicity ---------------------------------------------------------------------
+
+
+def slow_score(text, model):
+    """A text's score, subword by subword and window by window."""
+
+    def margin(word):
+        marked = f"<{''.join(c for c in word if c.isalnum())}>"
+        found = [zlib.crc32(marked.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS]
+        for n in range(toxicity.GRAMS[0], toxicity.GRAMS[1] + 1):
+            for i in range(len(marked) - n + 1):
+                x = ord(marked[i])
+                for c in marked[i + 1 : i + n]:
+                    x = (x * 0x9E3779B97F4A7C15 + ord(c)) % (1 << 64)
+                x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+                found.append((x >> 40) % toxicity.BUCKETS)
+        return sum(model.margin[b] for b in found) / len(found)
+
+    words = (text or "").lower().split()
+    words = [w for i, w in enumerate(words) if not i or words[i - 1] != w]
+    each = [margin(w) for w in words]
+    size = toxicity.WINDOW
+    windows = [sum(each[i : i + size]) / size for i in range(max(1, len(each) - size + 1))] if each else [0.0]
+    return 1 / (1 + math.exp(-(max(windows) + model.bias)))
+
+
+def test_toxicity_against_brute_force():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -0.7)
+    pick = random.Random(2)
+    texts = [None, "", "  ", "a", "Same same SAME word", "ß Straße 漢字 😀 !!!", " ".join(pick.choices(["the", "worthless", "x-y", "İ", "1,000"], k=70))]
+    texts += [" ".join("".join(pick.choices("abcdé!", k=pick.randint(1, 9))) for _ in range(pick.randint(1, 40))) for _ in range(60)]
+    assert model.scorer().scores(texts) == pytest.approx([slow_score(t, model) for t in texts], abs=1e-9)
+
+
+def test_toxicity_on_rows_held_out(spark):
+    """Labels that were never learned, whole tables."""
+    got = queries.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic IS NOT NULL")
+    n = got.agg(F.count_if(F.expr("toxic = 1 AND predicted = 1")).alias("tp"), F.count_if(F.expr("toxic = 0 AND predicted = 1")).alias("fp"), F.count_if(F.expr("toxic = 1")).alias("all")).first()
+    print(f"precision {n['tp'] / (n['tp'] + n['fp']):.2f}, recall {n['tp'] / n['all']:.2f} of {n['all']}")
+    assert n["tp"] >= 0.85 * (n["tp"] + n["fp"]) and n["tp"] >= 0.7 * n["all"] and n["all"] > 50
