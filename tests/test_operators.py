@@ -174,6 +174,27 @@ def test_keyset_pages_neither_repeat_nor_drop(spark):
         serving.keyset_page(df, "ts", "id", 501)
 
 
+def test_cursors_lead_on(spark):
+    df = spark.range(23).select(F.timestamp_micros(F.col("id") % 4 + 1_700_000_000_123_456).alias("ts"), F.concat(F.lit("T|"), "id").alias("id"))
+    seen, after = [], None
+    while True:
+        page = serving.keyset_page(df, "ts", "id", 5, after).orderBy("ts", "id").collect()
+        seen += [(r["ts"], r["id"]) for r in page]
+        if not page[-1]["has_more"]:
+            break
+        after = page[-1]["cursor"]
+    assert seen == sorted(map(tuple, df.collect())) and len(seen) == 23
+    for bad in ("", "x", "bm90IGEgdGltZXwx", "MjAyNC0wMS0wMQ==", "é"):
+        with pytest.raises(ValueError, match="malformed cursor"):
+            serving.keyset_page(df, "ts", "id", 5, bad)
+
+
+def test_iso_times_to_millis(spark):
+    rows = [("2024-01-01T00:00:00Z", 1704067200000), ("2024-01-01T02:00:00.123+02:00", 1704067200123), ("2024-01-01", 1704067200000), ("2024-01-01 00:00:01", 1704067201000), ("1969-12-31T23:59:59.999Z", -1), ("yesterday", None), ("", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want long").select("t", "want", S.iso_millis(F.col("t")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 def test_ratios_are_recomputed_not_summed(spark):
     df = spark.createDataFrame([("a", 5, 10), ("a", 0, 0), ("b", 0, 0)], "g string, n long, d long")
     got = {r["g"]: r["pct"] for r in serving.recompute(df, ["g"], ["n", "d"], {"pct": ("n", "d")}).collect()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import re
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,3 +88,20 @@ def identifiers(text: Column, letter: str, digits: int) -> Column:
 def cursor(ts: Column, key: Column) -> Column:
     """An opaque page cursor."""
     return F.base64(F.concat_ws("|", ts.cast("string"), key.cast("string")).cast("binary"))
+
+
+def position_of(page_cursor: str) -> tuple[str, str]:
+    """The (time, key) that ``cursor`` made a cursor of; anything else is refused."""
+    try:
+        ts, bar, key = base64.b64decode("".join(page_cursor.split()), validate=True).decode().partition("|")
+        datetime.fromisoformat(ts)
+    except ValueError as e:
+        raise ValueError("malformed cursor: pass back one that a page gave") from e
+    if not bar:
+        raise ValueError("malformed cursor: pass back one that a page gave")
+    return ts, key
+
+
+def iso_millis(text: Column) -> Column:
+    """Milliseconds since 1970 of an ISO-8601 time, with or without a zone (then the session's); null for anything else."""
+    return F.unix_millis(F.try_to_timestamp(text))

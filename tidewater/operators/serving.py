@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalar import cursor, percent
+from tidewater.functions.scalar import cursor, percent, position_of
 
 
-def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple[object, object] | None = None, since: object | None = None, where: Column | None = None) -> DataFrame:
-    """A page of ``limit`` rows after a position, ordered by (ts, key), each with ``has_more`` and its ``cursor``.
+def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple[object, object] | str | None = None, since: object | None = None, where: Column | None = None) -> DataFrame:
+    """A page of ``limit`` rows after a position or a page's cursor, ordered by (ts, key), each with ``has_more`` and its ``cursor``.
 
     The bound on ``ts`` alone is implied; it is spelt out because it can be
     pushed to the scan and a comparison of pairs can't.
@@ -22,9 +22,11 @@ def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple[objec
         df = df.where(where)
     if since is not None:
         df = df.where(F.col(ts) >= F.lit(since))
+    if isinstance(after, str):
+        after = position_of(after)
     if after is not None:
         at, k = (F.lit(x) for x in after)
-        df = df.where(F.col(ts) >= at).where(F.struct(F.col(ts).alias("a"), F.col(key).alias("b")) > F.struct(at.cast(df.schema[ts].dataType).alias("a"), k.cast(df.schema[key].dataType).alias("b")))
+        df = df.where(F.col(ts) >= at.cast(df.schema[ts].dataType)).where(F.struct(F.col(ts).alias("a"), F.col(key).alias("b")) > F.struct(at.cast(df.schema[ts].dataType).alias("a"), k.cast(df.schema[key].dataType).alias("b")))
     page = df.orderBy(ts, key).limit(limit + 1)
     w = Window.orderBy(ts, key)  # limit + 1 rows
     page = page.withColumn("_n", F.row_number().over(w)).withColumn("has_more", F.max("_n").over(Window.partitionBy()) > limit)

@@ -73,6 +73,20 @@ def keyset_page(k: Lake) -> DataFrame:
     return serving.keyset_page(o, "order_ts", "order_id", 50, ("1998-01-01 00:00:00", 100)).drop("cursor")
 
 
+@query("o", "SELECT order_id, order_ts FROM o WHERE (order_ts, order_id) > (TIMESTAMP '1998-01-01', 100) ORDER BY order_ts, order_id LIMIT 50 OFFSET 50")
+def keyset_next_page(k: Lake) -> DataFrame:
+    """The page after the first, by the cursor that the first one's last row gives."""
+    o = k.orders.select("order_id", "order_ts")
+    last = serving.keyset_page(o, "order_ts", "order_id", 50, ("1998-01-01 00:00:00", 100)).orderBy(F.desc("order_ts"), F.desc("order_id")).first()
+    return serving.keyset_page(o, "order_ts", "order_id", 50, last["cursor"]).select("order_id", "order_ts")
+
+
+@query("o", "SELECT order_id, CASE WHEN order_id % 9 <> 0 THEN epoch_ms(order_ts) END AS millis FROM o")
+def fn_iso_millis(k: Lake) -> DataFrame:
+    iso = F.when(F.col("order_id") % 9 == 0, "31/12/1998").otherwise(F.date_format("order_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return k.orders.select("order_id", S.iso_millis(iso).alias("millis"))
+
+
 @query("", "SELECT column_name FROM (VALUES ('c_name'), ('c_acctbal')) v(column_name)")
 def restricted_columns(k: Lake) -> DataFrame:
     """Columns of the customer table that a restricted list names."""
