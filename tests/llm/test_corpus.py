@@ -447,7 +447,7 @@ def test_pipeline(spark, sf):
 
 
 def test_queries_are_all_there(spark, sf):
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     pages = queries.op4_url_filter(spark, sf)
     assert {"page_id", "host", "path", "rule", "verdict"} <= set(pages.columns) and pages.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert {"doc_id", "held_out", "score", "predicted"} == set(queries.op9_toxicity(spark, sf).columns)
