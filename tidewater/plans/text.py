@@ -9,7 +9,7 @@ from tidewater.functions import analyse, masking
 from tidewater.functions.scalar import identifiers
 from tidewater.operators import relevance
 from tidewater.operators import retrieval as R
-from tidewater.operators.materialise import scratch, written
+from tidewater.operators.materialise import scratch, state_of, written
 from tidewater.operators.textindex import TextIndex
 from tidewater.operators.vectorindex import VectorIndex, exact_search
 from tidewater.plans.base import Lake, query
@@ -32,9 +32,13 @@ def units(k: Lake) -> DataFrame:
 
 
 def indexed(k: Lake, stemmed: bool = False) -> TextIndex:
-    """An index of the documents, written afresh."""
-    index = TextIndex(k.spark, scratch(k.spark, "index"), stemmed)
-    index.refresh(units(k))
+    """An index of the documents, written once for the application until their files change."""
+    base = scratch(k.spark, "index").rpartition("/")[0]
+    state = state_of(k.spark, f"{k.folder}/documents.parquet")
+    index = TextIndex(k.spark, f"{base}/index-{k.spark.sparkContext.applicationId}-{stemmed}-{state}", stemmed)
+    begun, fine = index.last()
+    if not begun or not fine:
+        index.refresh(units(k))
     return index
 
 
