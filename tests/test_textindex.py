@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import analyse
+from tidewater.operators import textindex
 from tidewater.operators.textindex import TextIndex, fingerprint
 
 UNITS = "doc_id string, id string, content string"
@@ -142,3 +144,50 @@ def test_stemmed_ranking(spark, tmp_path):
 
 def test_fingerprint_of_settings():
     assert fingerprint(size=220, overlap=40) == fingerprint(overlap=40, size=220) != fingerprint(overlap=41, size=220)
+
+
+def moved(spark, run):
+    """MB that a run shuffles."""
+
+    def total():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    time.sleep(1)
+    return (total() - before) / 1e6
+
+
+def test_contents_are_not_shuffled(spark, tmp_path):
+    """Texts of much that is no word: neither a base run nor a later one shuffles them; repeated ids alone are."""
+    junk = F.expr("array_join(transform(sequence(1, 4000), i -> char(cast(192 + pmod(xxhash64(id, i), 60) as int))), '')")
+    rows = spark.range(0, 600, numPartitions=4).select(F.col("id").alias("doc_id"), "id", F.concat(junk, F.lit(" words of "), "id").alias("content"))
+    rows.write.parquet(path := str(tmp_path / "texts"))
+    texts = spark.read.parquet(path)
+    index = TextIndex(spark, str(tmp_path / "ix"), False, buckets=4)
+    assert moved(spark, lambda: index.refresh(texts.where("id % 3 > 0"))) < 0.3
+    assert moved(spark, lambda: index.refresh(texts.where("id % 5 > 0"))) < 0.3
+    assert index.stats()[0] == 480 and index.postings().count() == 960
+
+
+def test_postings_of_a_chunk_meet_once(spark, tmp_path):
+    """Many questions that share their words: postings are shuffled, not their products with questions."""
+    texts = spark.range(0, 2000, numPartitions=4).select(F.col("id").alias("doc_id"), "id", F.expr("array_join(transform(sequence(1, 20), i -> concat('w', pmod(xxhash64(id, i), 50))), ' ')").alias("content"))
+    index = TextIndex(spark, str(tmp_path / "ix"), False, buckets=4)
+    index.refresh(texts)
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.explode(F.expr("transform(sequence(0, 49), i -> concat('w', i))")).alias("lexeme"))
+    assert moved(spark, lambda: index.bm25(asked, 3).collect()) < 1.5
+
+
+def test_large_sides_are_shuffled(spark, tmp_path, monkeypatch):
+    """Beyond what may be broadcast the results are the same."""
+    monkeypatch.setattr(textindex, "FEW", 0)
+    index = TextIndex(spark, str(tmp_path / "ix"), buckets=5)
+    for texts in (A, STEPS[0], STEPS[1]):
+        index.refresh(frame(spark, texts))
+    assert state(index) == by_hand(STEPS[1], True)
+    asked = spark.createDataFrame([(1, "run"), (1, "dog"), (2, "cat")], "query_id int, lexeme string")
+    few = {tuple(r) for r in index.bm25(asked).collect()}
+    monkeypatch.undo()
+    assert few == {tuple(r) for r in index.bm25(asked).collect()} and few
