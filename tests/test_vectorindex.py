@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import vectorindex
+from tidewater.operators import retrieval, vectorindex
 from tidewater.operators.vectorindex import VectorIndex, exact_search
 
 VECTORS = "id bigint, v array<double>"
@@ -69,6 +69,23 @@ def test_lists_are_not_shuffled(spark, rows, tmp_path):
     assert join.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in join  # the questions' side alone
 
 
+def test_few_pairs_are_ranked(spark, tmp_path, monkeypatch):
+    """What is sorted by question is little of what the probed lists hold, and the best of all lists are found."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(4000)]
+    asked, ranked, top = rows[::40], [], retrieval.top
+    index = VectorIndex(spark, str(tmp_path / "ix"), buckets=4).build(spark.createDataFrame(rows, VECTORS))
+
+    def counted(scored, by, k):
+        ranked.append(scored.count())
+        return top(scored, by, k)
+
+    monkeypatch.setattr(retrieval, "top", counted)
+    got = index.search(spark.createDataFrame(asked, "query_id bigint, q array<double>"), 7, probes=63)
+    assert sum(ranked) < 100 * 4000 / 10
+    assert {tuple(r) for r in got.collect()} == brute(rows, asked, 7)
+
+
 def test_nothing_to_search(spark, tmp_path):
     empty = spark.createDataFrame([], VECTORS)
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, q array<double>")
