@@ -53,6 +53,25 @@ def test_no_nested_loop(frames):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_texts_of_candidates_alone_are_shuffled(spark, tmp_path):
+    from tests.test_textindex import moved
+
+    junk = F.expr("array_join(transform(sequence(1, 4000), i -> char(cast(192 + pmod(xxhash64(id, i), 60) as int))), '')")
+    spark.range(0, 600, numPartitions=4).select("id", F.concat(junk, F.lit(" a passage of number "), "id", F.lit(" or so ")).alias("text"), F.lit("x").alias("intent")).write.parquet(path := str(tmp_path / "texts"))
+    asked = spark.createDataFrame([(q, None, [f"passage of number {3 * q} or", f"of number {3 * q}"]) for q in range(10)], ASKS)
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for sides whose size isn't known beforehand
+    assert moved(spark, lambda: found.extend(relevance.relevant(spark.read.parquet(path), asked, fold=False).collect())) < 0.3
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, found)) == [(q, 3 * q) for q in range(10)]
+
+
+def test_candidates_beyond_a_broadcast(frames, monkeypatch):
+    docs, asks, d, q = frames
+    monkeypatch.setattr(relevance, "FEW", 0)
+    assert {tuple(r) for r in relevance.relevant(d, q).collect()} == brute(docs, asks)
+
+
 def test_nothing_asked_or_there(spark, frames):
     _, _, d, q = frames
     assert relevance.relevant(d.limit(0), q).collect() == [] == relevance.relevant(d, q.limit(0)).collect()

@@ -17,7 +17,7 @@ from tidewater.operators.materialise import written
 
 #: Neighbours of a gram at most. Kinds go up with what they tell: 1 to CHARS characters, then 1 to WORDS words.
 WORDS, CHARS = 3, 5
-#: Grams of questions that are broadcast at most; beyond, documents are shuffled by gram.
+#: Grams of questions and ids of candidates that are broadcast at most; beyond, documents are shuffled by them.
 FEW = 1_000_000
 
 
@@ -83,7 +83,10 @@ def relevant(docs: DataFrame, questions: DataFrame, fold: bool = True) -> DataFr
         rarest = grams.join(df, ["kind", "gram"], "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "kind", "gram")).alias("r")).select("query_id", "r.kind", "r.gram")
         pairs = written(rarest.join(seen, ["kind", "gram"]).select("query_id", "id"), "candidates")
         labelled = F.col("intents").isNull() | F.array_contains("intents", F.col("intent"))
-        both = pairs.join(held, "query_id").join(d.select("id", text.alias("low"), "intent"), "id").where(labelled)
+        ids = written(pairs.select("id").distinct(), "candidate_ids")
+        ids = F.broadcast(ids) if ids.count() <= FEW else ids
+        # texts of candidates alone are shuffled
+        both = pairs.join(held, "query_id").join(d.join(ids, "id", "left_semi").select("id", text.alias("low"), "intent"), "id").where(labelled)
         each = both.select("query_id", "id", F.size("needles").alias("of"), "low", F.explode("needles").alias("n")).where(F.contains("low", F.col("n")))
         # rows of one id and different texts are judged apart
         found = each.groupBy("query_id", "id", F.xxhash64("low"), "of").agg(F.count_distinct("n").alias("held")).where("held = of").select("query_id", "id")
