@@ -142,3 +142,11 @@ def test_a_table_is_written_once_until_its_input_changes(spark, tmp_path):
     assert (read(), read(), len(built)) == (3, 3, 1)
     spark.range(2).write.mode("append").parquet(f"{tmp_path}/in")
     assert (read(), len(built)) == (5, 2)
+
+
+@pytest.mark.parametrize(("name", "unused"), [("fact_payments", "l_partkey"), ("join_asof_scd2", "o_totalprice")])
+def test_as_of_carries_what_is_shown(spark, sf, name, unused):
+    from tidewater.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert unused not in plan

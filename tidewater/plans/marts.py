@@ -167,8 +167,9 @@ AS_OF = "LEFT JOIN dim d ON {f}.customer_id = d.customer_id AND {ts} >= d.valid_
 
 @query("o dim", f"SELECT order_id, o.customer_id, d.version, d.loyalty_tier FROM o {AS_OF.format(f='o', ts='o.order_ts')}")
 def join_asof_scd2(k: Lake) -> DataFrame:
-    d = dim_customer_frame(k).withColumnRenamed("customer_id", "_c")
-    return scd2.as_of(k.orders, d, [("customer_id", "_c")], "order_ts").select("order_id", "customer_id", "version", "loyalty_tier")
+    o = k.orders.select("order_id", "customer_id", "order_ts")
+    d = dim_customer_frame(k).select(F.col("customer_id").alias("_c"), "version", "loyalty_tier", "valid_from", "valid_to")
+    return scd2.as_of(o, d, [("customer_id", "_c")], "order_ts").select("order_id", "customer_id", "version", "loyalty_tier")
 
 
 @query("o dim l pay", f"WITH lr AS ({LINE_ROLLUP}), pr AS ({PAY_ROLLUP}) SELECT order_id, d.customer_key, strftime(order_ts, '%Y%m%d')::BIGINT AS date_key, status, channel, amount::DOUBLE AS amount, CASE WHEN recognised THEN amount ELSE 0 END::DOUBLE AS recognised_amount, coalesce(n_lines, 0) AS n_lines, coalesce(attempts, 0) AS attempts, coalesce(captured, 0) AS captured FROM o {AS_OF.format(f='o', ts='o.order_ts')} LEFT JOIN lr USING (order_id) LEFT JOIN pr USING (order_id)")
@@ -180,13 +181,15 @@ def fact_orders(k: Lake) -> DataFrame:
 
 @query("o l p dim", f"SELECT order_id, line_number, l.product_id, CASE WHEN p.product_id IS NOT NULL THEN md5(l.product_id::VARCHAR) END AS product_key, d.customer_key, quantity::DOUBLE AS quantity, line_amount::DOUBLE AS line_amount, CASE WHEN recognised THEN line_amount ELSE 0 END::DOUBLE AS recognised_amount, (line_amount - quantity * unit_cost)::DOUBLE AS margin FROM l JOIN o USING (order_id) LEFT JOIN p ON p.product_id = l.product_id {AS_OF.format(f='o', ts='o.order_ts')}")
 def fact_order_items(k: Lake) -> DataFrame:
-    o = versioned(k, k.orders, "order_ts").select("order_id", "customer_key", "recognised")
+    o = versioned(k, k.orders.select("order_id", "customer_id", "order_ts", "recognised"), "order_ts").select("order_id", "customer_key", "recognised")
     return lines_with_products(k).join(o, "order_id").select("order_id", "line_number", "product_id", F.when(F.col("known"), S.surrogate_key(F.col("product_id"))).alias("product_key"), "customer_key", F.col("quantity").cast("double").alias("quantity"), F.col("line_amount").cast("double").alias("line_amount"), F.when(F.col("recognised"), F.col("line_amount").cast("double")).otherwise(0.0).alias("recognised_amount"), F.col("margin").cast("double").alias("margin"))
 
 
 @query("pay o dim", f"SELECT order_id, attempt_number, payment_method, pay.status, d.customer_key, pay.amount::DOUBLE AS amount, CASE WHEN is_captured THEN pay.amount ELSE 0 END::DOUBLE AS captured_amount, failure_reason, strftime(processed_ts, '%Y%m%d')::BIGINT AS date_key FROM pay LEFT JOIN o USING (order_id) {AS_OF.format(f='o', ts='processed_ts')}")
 def fact_payments(k: Lake) -> DataFrame:
-    p = versioned(k, k.payments.join(k.orders.select("order_id", "customer_id"), "order_id", "left"), "processed_ts")
+    # rows are shuffled whole by customer, so with what the fact shows alone
+    needed = k.payments.select("order_id", "attempt_number", "payment_method", "status", "amount", "processed_ts", "is_captured", "failure_reason")
+    p = versioned(k, needed.join(k.orders.select("order_id", "customer_id"), "order_id", "left"), "processed_ts")
     return p.select("order_id", "attempt_number", "payment_method", "status", "customer_key", F.col("amount").cast("double").alias("amount"), F.when(F.col("is_captured"), F.col("amount").cast("double")).otherwise(0.0).alias("captured_amount"), "failure_reason", S.date_key(F.col("processed_ts")).alias("date_key"))
 
 
