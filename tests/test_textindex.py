@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import analyse
-from tidewater.operators import textindex
+from tidewater.operators import retrieval, textindex
 from tidewater.operators.textindex import TextIndex, fingerprint
 
 UNITS = "doc_id string, id string, content string"
@@ -180,6 +180,35 @@ def test_postings_of_a_chunk_meet_once(spark, tmp_path):
     assert moved(spark, lambda: index.bm25(asked, 3).collect()) < 1.5
 
 
+def test_a_task_ranks_few_pairs(spark, tmp_path, monkeypatch):
+    """Pairs of a question and a chunk are dealt by their number, not by the bytes of the postings that make them."""
+    monkeypatch.setattr(textindex, "PAIRS", 5_000, raising=False)
+    texts = spark.range(0, 2000, numPartitions=4).select(F.col("id").alias("doc_id"), "id", F.expr("array_join(transform(sequence(1, 20), i -> concat('w', pmod(xxhash64(id, i), 50))), ' ')").alias("content"))
+    index = TextIndex(spark, str(tmp_path / "ix"), False, buckets=4)
+    index.refresh(texts)
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.explode(F.expr("transform(sequence(0, 49), i -> concat('w', i))")).alias("lexeme"))
+    most, top = [], retrieval.top
+
+    def counted(scored, by, k):
+        most.append(scored.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+        return top(scored, by, k)
+
+    monkeypatch.setattr(retrieval, "top", counted)
+    few = {tuple(r) for r in index.bm25(asked, 3).collect()}
+    assert most[0][1] == 200_000 and most[0][0] < 25_000
+    monkeypatch.undo()
+    assert few == {tuple(r) for r in index.bm25(asked, 3).collect()} and len(few) == 300
+
+
+def test_frequencies_of_asked_lexemes_alone_are_shuffled(spark, tmp_path):
+    texts = spark.range(0, 2000, numPartitions=4).select(F.col("id").alias("doc_id"), "id", F.expr("concat('common ', array_join(transform(sequence(1, 60), i -> concat('w', id, 'x', i)), ' '))").alias("content"))
+    index = TextIndex(spark, str(tmp_path / "ix"), False, buckets=4)
+    index.refresh(texts)
+    asked = spark.createDataFrame([(1, "w7x3"), (2, "common"), (2, "nowhere")], "query_id int, lexeme string")
+    assert moved(spark, lambda: index.bm25(asked, 3).collect()) < 0.3
+    assert {tuple(r) for r in index.frequencies(asked).collect()} == {("w7x3", 1), ("common", 2000)}
+
+
 def test_large_sides_are_shuffled(spark, tmp_path, monkeypatch):
     """Beyond what may be broadcast the results are the same."""
     monkeypatch.setattr(textindex, "FEW", 0)
