@@ -69,6 +69,26 @@ def test_lists_are_not_shuffled(spark, rows, tmp_path):
     assert join.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in join  # the questions' side alone
 
 
+def test_questions_are_not_broadcast(spark, rows, tmp_path):
+    """A question is carried once a list; however small Spark takes the questions for, neither side goes through the driver."""
+    index = VectorIndex(spark, str(tmp_path / "ix"), buckets=4).build(spark.createDataFrame(rows, VECTORS))
+    found = index.search(spark.createDataFrame(asked_of(rows), "query_id bigint, q array<double>"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and "Bucketed: true" in plan
+
+
+def test_questions_in_blocks(spark, rows, tmp_path, monkeypatch):
+    """Several blocks of questions, a few scores at a time, ids of text, and copies of one id in several parts of a list."""
+    for name, n in (("BLOCK", 4), ("SCORES", 50), ("PART", 40)):
+        monkeypatch.setattr(vectorindex, name, n)
+    same = [(i if i < 1000 else 1000, v) for i, v in rows]
+    index = VectorIndex(spark, str(tmp_path / "ix"), buckets=4).build(spark.createDataFrame([(f"v{i:05}", v) for i, v in same], "id string, v array<double>"), lists=9)
+    assert spark.table(index._table).groupBy("list", "part").count().agg(F.max("count")).first()[0] < 90
+    asked = asked_of(rows)
+    got = index.search(spark.createDataFrame(asked, "query_id bigint, q array<double>"), 7, probes=9).collect()
+    assert len(got) == 7 * len(asked) and {(q, int(i[1:]), s, r) for q, i, s, r in got} == brute(same, asked, 7)
+
+
 def test_few_pairs_are_ranked(spark, tmp_path, monkeypatch):
     """What is sorted by question is little of what the probed lists hold, and the best of all lists are found."""
     rng = np.random.default_rng(5)
